@@ -1,0 +1 @@
+"""No operator lives here: the engine moves bounded tables, and nothing it covers is a stream."""
