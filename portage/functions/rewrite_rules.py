@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from portage.functions.columns import let
+
 Rule = Callable[[Column], Column]
 
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -43,12 +45,15 @@ def mask(body: Column) -> Column:
 def restore(code: Column, atoms: Column) -> Column:
     """Masked code with the literals and comments put back."""
 
-    def piece(part: Column, i: Column) -> Column:
-        number = F.substring_index(part, _CLOSE, 1).try_cast("int")
-        rest = F.substr(part, F.instr(part, _CLOSE) + 1)
-        return F.when(i == 0, part).otherwise(F.concat(F.get(atoms, number), rest))
+    def joined(known: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            number = F.substring_index(part, _CLOSE, 1).try_cast("int")
+            rest = F.substr(part, F.instr(part, _CLOSE) + 1)
+            return F.when(i == 0, part).otherwise(F.concat(F.get(known, number), rest))
+
+        return F.array_join(F.transform(F.split(code, _OPEN), piece), "")
 
-    return F.array_join(F.transform(F.split(code, _OPEN), piece), "")
+    return let(atoms, joined)
 
 
 def _sub(code: Column, pattern: str, replacement: str) -> Column:
@@ -189,7 +194,7 @@ def notices(atoms: Column) -> Rule:
     the triage to find.
     """
 
-    def convert(args: Column) -> Column:
+    def convert(args: Column, atoms: Column) -> Column:
         pieces = F.transform(F.split(args, r"\|\|"), lambda p: F.trim(p))
 
         def is_text(piece: Column) -> Column:
@@ -209,17 +214,19 @@ def notices(atoms: Column) -> Rule:
             F.lit(";"),
         )
 
-    return lambda code: _replace_calls(code, r"(?i)\bdbms_output\.put_line\s*\(([^()]*)\)\s*;", convert)
+    pattern = r"(?i)\bdbms_output\.put_line\s*\(([^()]*)\)\s*;"
+    return lambda code: let(atoms, lambda known: _replace_calls(code, pattern, lambda args: convert(args, known)))
 
 
 def raise_call(atoms: Column) -> Rule:
     """``raise_xyz(args);`` becomes an exception whose text is the arguments. Comes last, like ``notices``."""
 
-    def convert(args: Column) -> Column:
+    def convert(args: Column, atoms: Column) -> Column:
         text = F.replace(restore(F.trim(args), atoms), F.lit("'"), F.lit("''"))
         return F.concat(F.lit("RAISE EXCEPTION '"), F.replace(text, F.lit("%"), F.lit("%%")), F.lit("';"))
 
-    return lambda code: _replace_calls(code, r"(?i)\braise_\w+\s*\(([^()]*)\)\s*;", convert)
+    pattern = r"(?i)\braise_\w+\s*\(([^()]*)\)\s*;"
+    return lambda code: let(atoms, lambda known: _replace_calls(code, pattern, lambda args: convert(args, known)))
 
 
 def unquote_names(code: Column) -> Column:

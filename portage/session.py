@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators are written for. AQE sizes the shuffles and splits skewed join partitions.
 SETTINGS = {
@@ -57,6 +58,13 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``stage``, with the number of rows taken from the same pass."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return staged, seen.get["n"]
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a work folder this library made, on whichever file system it lies."""
     if not path.startswith(work_root(spark) + "/"):

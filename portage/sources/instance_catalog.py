@@ -8,11 +8,13 @@ in the dialect Spark and other ANSI engines share, with ``{table}`` marking an i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portage.session import new_work_dir, stage
 from portage.sources.tables import parquet_table
 
 _OWNER = "'SALES_' || o.o_orderstatus"
@@ -190,11 +192,27 @@ SELECT 'CHAT' AS owner, 'conv_' || conv_id AS name, 'PROCEDURE' AS type, CAST(tu
 _INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "conversations"]
 
 
+# Catalog tables of this session, by folder and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _written_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The catalog table as a stored table, as a catalog is: written on first use, then read."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = stage(make(), f"{new_work_dir(spark, 'catalog')}/{name}")
+    return _WRITTEN[key]
+
+
 def shape(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One catalog table over the business tables in ``folder``."""
     text = SHAPES[name]
-    inputs = {t: parquet_table(spark, folder, t) for t in _INPUTS if "{" + t + "}" in text}
-    return spark.sql(text, **inputs)
+
+    def make() -> DataFrame:
+        inputs = {t: parquet_table(spark, folder, t) for t in _INPUTS if "{" + t + "}" in text}
+        return spark.sql(text, **inputs)
+
+    return _written_once(spark, folder, name, make)
 
 
 def document_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,7 +241,8 @@ def document_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     """All stored code lines: ``owner, name, type, line, text``."""
-    return shape(spark, folder, "order_source").unionByName(document_source(spark, folder))
+    documents = _written_once(spark, folder, "document_source", lambda: document_source(spark, folder))
+    return shape(spark, folder, "order_source").unionByName(documents)
 
 
 cat_tables = partial(shape, name="cat_tables")
