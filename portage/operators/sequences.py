@@ -58,7 +58,7 @@ def assign_keys(
     )
     part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per written partition, so this is plan metadata and not data.
+    # One row per written partition, so this is plan metadata: small enough to collect and to broadcast.
     sizes = sorted((row["_part"], row["_n"]) for row in counts.collect())
     starts = accumulate((n for _, n in sizes), initial=0)
     offsets = spark.createDataFrame(

@@ -595,8 +595,9 @@ def _routine_names(spark, sf):
 
 @query
 def dep_by_text(spark, sf):
-    bodies = code.assemble(cat.shape(spark, sf, "order_source")).where("segment = 0").select("name", "body")
-    return contains_join(bodies, _routine_names(spark, sf).withColumn("full_name", F.col("searched")), "name", "body", "full_name", "searched")
+    bodies = code.assemble(cat.shape(spark, sf, "order_source")).select("name", "body")
+    names = _routine_names(spark, sf).withColumn("full_name", F.col("searched"))
+    return contains_join(bodies, names, "name", "body", "full_name", "searched")
 
 
 # Stored code ------------------------------------------------------------------------------------------------
