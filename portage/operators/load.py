@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from portage.session import drop_dir, new_work_dir
@@ -23,17 +23,9 @@ class Loaded:
     max_value: object = None
 
 
-def _watched(df: DataFrame, auto_column: str | None) -> tuple[DataFrame, Observation]:
-    seen = Observation()
+def _totals(auto_column: str | None) -> list[Column]:
     parts = [F.count(F.lit(1)).alias("n_rows")]
-    if auto_column:
-        parts.append(F.max(auto_column).alias("max_value"))
-    return df.observe(seen, *parts), seen
-
-
-def _result(seen: Observation) -> Loaded:
-    values = seen.get
-    return Loaded(values["n_rows"], values.get("max_value"))
+    return parts + [F.max(auto_column).alias("max_value")] if auto_column else parts
 
 
 def load_parquet(df: DataFrame, path: str, auto_column: str | None = None, max_records_per_file: int = 0) -> Loaded:
@@ -42,12 +34,12 @@ def load_parquet(df: DataFrame, path: str, auto_column: str | None = None, max_r
     The rows keep the partitions they come in, so nothing is shuffled just to be written; ``max_records_per_file``
     splits what would become huge files.
     """
-    watched, seen = _watched(df, auto_column)
-    writer = watched.write.mode("overwrite")
+    seen = Observation()
+    writer = df.observe(seen, *_totals(auto_column)).write.mode("overwrite")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.parquet(path)
-    return _result(seen)
+    return Loaded(seen.get["n_rows"], seen.get.get("max_value"))
 
 
 def load_jdbc(
@@ -57,14 +49,15 @@ def load_jdbc(
     """Overwrite a database table over at most ``connections`` connections.
 
     Spark narrows the partitions to that number without a shuffle. A partition commits on its own, so a task that
-    runs twice may insert twice; the count check after the load finds that.
+    runs twice may insert twice; the count check after the load finds that. The JDBC writer runs its own job, which
+    no observation sees, so the totals come from a pass over the one column they need.
     """
-    watched, seen = _watched(df, auto_column)
-    watched.write.format("jdbc").mode("overwrite").options(
+    totals = df.agg(*_totals(auto_column)).first().asDict()
+    df.write.format("jdbc").mode("overwrite").options(
         url=target.url, driver=target.driver, dbtable=table, batchsize=JDBC_BATCH, numPartitions=connections,
         truncate=str(truncate).lower(), **target.options,
     ).save()
-    return _result(seen)
+    return Loaded(totals["n_rows"], totals.get("max_value"))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -48,7 +48,7 @@ class JdbcSource:
         reader = self.reader(spark).option("dbtable", name).option("fetchsize", fetch_size)
         if partition_column and partitions > 1:
             bounds = self.query(
-                spark, f"SELECT min({partition_column}) AS lo, max({partition_column}) AS hi FROM {name}"
+                spark, f'SELECT min("{partition_column}") AS lo, max("{partition_column}") AS hi FROM {name}'
             ).first()
             if bounds[0] is not None:
                 reader = (
