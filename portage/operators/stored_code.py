@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portage.functions import rewrite_rules as R
+from portage.session import new_work_dir, stage
 
 _KEY = ["owner", "name", "type"]
 
@@ -118,8 +119,12 @@ def _triaged(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
 
 
 def ready(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
-    """Accepted bodies with the general rules applied, masked: ``_code`` and ``_atoms``."""
-    return _triaged(bodies, views, schema).where(F.col("reason").isNull())
+    """Accepted bodies with the general rules applied, masked: ``_code`` and ``_atoms``.
+
+    A written table, as the rewriters below read it several times.
+    """
+    accepted = _triaged(bodies, views, schema).where(F.col("reason").isNull())
+    return stage(accepted.select(*_KEY, "_atoms", "_code"), new_work_dir(bodies.sparkSession, "accepted-code"))
 
 
 def _target(schema: str, name: Column) -> Column:

@@ -17,7 +17,7 @@ from portage.operators.textdep import contains_join
 from portage.plans.migrate import ForeignKey, TableSpec, migrate
 from portage.session import new_work_dir
 from portage.sources import instance_catalog as cat
-from portage.sources.tables import Extraction, extract, has_rows, parquet_table
+from portage.sources.tables import Extraction, extract, has_rows, parquet_table, spread
 
 #: Schema the stored code is moved to.
 TARGET_SCHEMA = "app"
@@ -572,7 +572,7 @@ def dep_cycles(spark, sf):
 @query
 def contains_join_texts(spark, sf):
     return contains_join(
-        _t(spark, sf, "documents"), _t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text"
+        spread(_t(spark, sf, "documents")), _t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text"
     )
 
 
@@ -618,7 +618,7 @@ def src_assemble(spark, sf):
 
 @query
 def src_tokens(spark, sf):
-    return code.tokens(_t(spark, sf, "documents"), ["doc_id"], "text")
+    return code.tokens(spread(_t(spark, sf, "documents")), ["doc_id"], "text")
 
 
 @query

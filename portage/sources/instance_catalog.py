@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portage.session import new_work_dir, stage
-from portage.sources.tables import parquet_table
+from portage.sources.tables import parquet_table, spread
 
 _OWNER = "'SALES_' || o.o_orderstatus"
 
@@ -217,7 +217,7 @@ def shape(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def document_source(spark: SparkSession, folder: str) -> DataFrame:
     """Stored procedures made of whole documents: every text line is printed by one statement."""
-    documents = parquet_table(spark, folder, "documents")
+    documents = spread(parquet_table(spark, folder, "documents"))
     name = F.concat(F.lit("doc_"), F.col("doc_id"))
     lines = documents.select(name.alias("name"), F.posexplode(F.split("text", "\n")).alias("pos", "line_text")).select(
         "name",

@@ -16,6 +16,16 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than task slots, spread over all slots for heavy work on each row.
+
+    Small text tables come as one file, and one task would do all of it. A scan that has enough partitions is left
+    as it is, so a large table is never shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 @dataclass(frozen=True)
 class JdbcSource:
     """Where a database is and how to log in. ``options`` go to Spark's JDBC reader and writer as they are."""
