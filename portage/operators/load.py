@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from portage.session import drop_dir, new_work_dir
+from portage.session import drop_dir, new_work_dir, path_exists
 from portage.sources.tables import JdbcSource
 
 #: Rows per JDBC insert batch. A million, as some tools ask for, holds too much of one partition in memory.
@@ -60,11 +60,6 @@ def load_jdbc(
     return Loaded(totals["n_rows"], totals.get("max_value"))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 @contextmanager
 def snapshot(spark: SparkSession, path: str):
     """Keep a copy of the Parquet table at ``path`` while the block runs.

@@ -91,7 +91,8 @@ def triage(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
     """``ok`` or ``failed`` with the reason, for every object.
 
     untranslatable: reads a system view; factory: a second BEGIN; unsupported: a package call no rule knows; review:
-    nested parentheses where a rule stops at the first; oversize: too long for one row.
+    nested parentheses where a rule stops at the first; oversize: too long for one row. ``bodies`` is read several
+    times, so it should be a stored table.
     """
     return _triaged(bodies, views, schema).select(
         *_KEY, "segment", F.when(F.col("reason").isNull(), "ok").otherwise("failed").alias("status"), "reason"

@@ -595,7 +595,7 @@ def _routine_names(spark, sf):
 
 @query
 def dep_by_text(spark, sf):
-    bodies = code.assemble(cat.shape(spark, sf, "order_source")).select("name", "body")
+    bodies = _bodies(spark, sf).where("owner = 'APP'").select("name", "body")
     names = _routine_names(spark, sf).withColumn("full_name", F.col("searched"))
     return contains_join(bodies, names, "name", "body", "full_name", "searched")
 
@@ -604,7 +604,7 @@ def dep_by_text(spark, sf):
 
 
 def _bodies(spark, sf):
-    return code.assemble(cat.source_lines(spark, sf))
+    return cat.bodies(spark, sf)
 
 
 def _rule(spark, sf, rules, late=None):

@@ -13,11 +13,14 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join whose measured build partitions all stay below this needs no sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.scheduler.mode": "FAIR",
 }
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: list[tuple[str, str]] = []
 
 
 def build_session(app_name: str = "portage", master: str | None = None, **settings: str) -> SparkSession:
@@ -49,7 +52,9 @@ def work_root(spark: SparkSession) -> str:
 
 def new_work_dir(spark: SparkSession, purpose: str) -> str:
     """A folder name nobody has used before, under the shared work folder."""
-    return f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
@@ -65,6 +70,11 @@ def stage_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     return staged, seen.get["n"]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a work folder this library made, on whichever file system it lies."""
     if not path.startswith(work_root(spark) + "/"):
@@ -72,3 +82,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     file_system = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     file_system.delete(jvm_path, True)
+
+
+def drop_work_dirs(spark: SparkSession) -> None:
+    """Delete every work folder of this session. DataFrames that read intermediate tables are void afterwards."""
+    app_id = spark.sparkContext.applicationId
+    for owner, path in list(_MADE):
+        if owner == app_id:
+            drop_dir(spark, path)
+            _MADE.remove((owner, path))

@@ -14,7 +14,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portage.session import new_work_dir, stage
+from portage.operators.stored_code import assemble
+from portage.session import new_work_dir, path_exists, stage
 from portage.sources.tables import parquet_table, spread
 
 _OWNER = "'SALES_' || o.o_orderstatus"
@@ -192,16 +193,17 @@ SELECT 'CHAT' AS owner, 'conv_' || conv_id AS name, 'PROCEDURE' AS type, CAST(tu
 _INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "conversations"]
 
 
-# Catalog tables of this session, by folder and name.
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+# Catalog tables of this session and where they are stored, by folder and name.
+_WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
 def _written_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The catalog table as a stored table, as a catalog is: written on first use, then read."""
     key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = stage(make(), f"{new_work_dir(spark, 'catalog')}/{name}")
-    return _WRITTEN[key]
+    if key not in _WRITTEN or not path_exists(spark, _WRITTEN[key][1]):
+        path = f"{new_work_dir(spark, 'catalog')}/{name}"
+        _WRITTEN[key] = stage(make(), path), path
+    return _WRITTEN[key][0]
 
 
 def shape(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -245,6 +247,11 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     return shape(spark, folder, "order_source").unionByName(documents)
 
 
+def bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored code assembled, one row per object and segment."""
+    return _written_once(spark, folder, "bodies", lambda: assemble(source_lines(spark, folder)))
+
+
 cat_tables = partial(shape, name="cat_tables")
 cat_columns = partial(shape, name="cat_columns")
 cat_constraints = partial(shape, name="cat_constraints")
