@@ -60,22 +60,66 @@ def load_jdbc(
     return Loaded(totals["n_rows"], totals.get("max_value"))
 
 
+@dataclass(frozen=True)
+class ParquetTarget:
+    """A folder with one Parquet table per name."""
+
+    folder: str
+
+    def path(self, name: str) -> str:
+        return f"{self.folder.rstrip('/')}/{name}"
+
+    def exists(self, spark: SparkSession, name: str) -> bool:
+        return path_exists(spark, self.path(name))
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(self.path(name))
+
+    def load(self, df: DataFrame, name: str, auto_column: str | None = None) -> Loaded:
+        return load_parquet(df, self.path(name), auto_column)
+
+
+@dataclass(frozen=True)
+class JdbcTarget:
+    """The tables of a database schema; ``schema`` None leaves names unqualified."""
+
+    database: JdbcSource
+    schema: str | None = None
+    connections: int = 8
+
+    def table_name(self, name: str) -> str:
+        return f"{self.schema}.{name}" if self.schema else name
+
+    def exists(self, spark: SparkSession, name: str) -> bool:
+        try:
+            self.database.query(spark, f"SELECT * FROM {self.table_name(name)} WHERE 1 = 0")
+        except Exception:  # the driver's own error class: there is no such table, or it may not be read
+            return False
+        return True
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return self.database.table(spark, self.table_name(name))
+
+    def load(self, df: DataFrame, name: str, auto_column: str | None = None) -> Loaded:
+        return load_jdbc(df, self.database, self.table_name(name), auto_column, self.connections)
+
+
 @contextmanager
-def snapshot(spark: SparkSession, path: str):
-    """Keep a copy of the Parquet table at ``path`` while the block runs.
+def snapshot(spark: SparkSession, target: ParquetTarget | JdbcTarget, name: str):
+    """Keep a copy of a target table while the block runs.
 
     If the block raises, the table is overwritten with the copy and the error goes on; either way the copy is
     deleted at the end. A table that does not exist yet needs no copy.
     """
     copy = None
-    if path_exists(spark, path):
+    if target.exists(spark, name):
         copy = new_work_dir(spark, "snapshot")
-        spark.read.parquet(path).write.parquet(copy)
+        target.read(spark, name).write.parquet(copy)
     try:
         yield copy
     except BaseException:
         if copy:
-            spark.read.parquet(copy).write.mode("overwrite").parquet(path)
+            target.load(spark.read.parquet(copy), name)
         raise
     finally:
         if copy:

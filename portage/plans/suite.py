@@ -12,7 +12,7 @@ from portage.functions.names import key_list, lower_columns, normalise_name
 from portage.functions.predicates import ColumnFilter, allowed_operators, preview
 from portage.operators import conflicts, graph, integrity, inventory, keys, reconcile, runlog, script, sequences
 from portage.operators import stored_code as code
-from portage.operators.load import load_parquet, snapshot
+from portage.operators.load import ParquetTarget, load_parquet, snapshot
 from portage.operators.textdep import contains_join
 from portage.plans.migrate import ForeignKey, TableSpec, migrate
 from portage.session import new_work_dir
@@ -74,15 +74,15 @@ def load_overwrite(spark, sf):
 
 @query
 def snapshot_restore(spark, sf):
-    path = new_work_dir(spark, "restore") + "/orders"
-    load_parquet(_t(spark, sf, "orders"), path)
+    target = ParquetTarget(new_work_dir(spark, "restore"))
+    target.load(_t(spark, sf, "orders"), "orders")
     try:
-        with snapshot(spark, path):
-            load_parquet(_filtered(spark, sf, "orders", ColumnFilter("o_orderstatus", "=", "F")), path)
+        with snapshot(spark, target, "orders"):
+            target.load(_filtered(spark, sf, "orders", ColumnFilter("o_orderstatus", "=", "F")), "orders")
             raise RuntimeError("the load is rejected")
     except RuntimeError:
         pass
-    return spark.read.parquet(path)
+    return target.read(spark, "orders")
 
 
 @query

@@ -7,7 +7,8 @@ from conftest import SF
 
 from portage.operators import load, runlog, script, stored_code
 from portage.plans.migrate import ForeignKey, TableSpec, migrate
-from portage.session import drop_dir, new_work_dir, work_root
+from portage.plans.from_catalog import table_specs
+from portage.session import drop_dir, new_work_dir, path_exists, work_root
 from portage.sources.tables import JdbcSource, extract, has_rows, parquet_table
 
 
@@ -26,18 +27,23 @@ def test_load_counts_in_the_same_pass_without_a_shuffle(spark, tmp_path):
     assert (empty.n_rows, empty.max_value) == (0, None)
 
 
-def test_snapshot_restores_and_cleans_up(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(5).write.parquet(path)
+def check_snapshot(spark, target):
+    target.load(spark.range(5).toDF("k"), "t")
     with pytest.raises(RuntimeError):
-        with load.snapshot(spark, path) as copy:
-            spark.range(50, 52).write.mode("overwrite").parquet(path)
+        with load.snapshot(spark, target, "t") as copy:
+            target.load(spark.range(50, 52).toDF("k"), "t")
             raise RuntimeError
-    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
-    assert not load.path_exists(spark, copy)
-    with load.snapshot(spark, path) as copy:
-        spark.range(1).write.mode("overwrite").parquet(path)
-    assert spark.read.parquet(path).count() == 1 and not load.path_exists(spark, copy)
+    assert sorted(r[0] for r in target.read(spark, "t").collect()) == [0, 1, 2, 3, 4]
+    assert not path_exists(spark, copy)
+    with load.snapshot(spark, target, "t") as copy:
+        target.load(spark.range(1).toDF("k"), "t")
+    assert target.read(spark, "t").count() == 1 and not path_exists(spark, copy)
+    with load.snapshot(spark, target, "not_there") as copy:
+        assert copy is None
+
+
+def test_snapshot_of_a_folder(spark, tmp_path):
+    check_snapshot(spark, load.ParquetTarget(str(tmp_path)))
 
 
 def test_failure_is_carried_forward(spark, tmp_path):
@@ -136,3 +142,45 @@ def test_jdbc_pushdown_and_query(spark, database):
 def test_jdbc_partitioned_read_of_an_empty_table(spark, database):
     load.load_jdbc(spark.range(0).toDF("k"), database, "nothing")
     assert database.table(spark, "nothing", "k", partitions=4).count() == 0
+
+
+def test_snapshot_of_a_database_table(spark, database):
+    check_snapshot(spark, load.JdbcTarget(database))
+
+
+def test_database_to_database_from_catalog_rows(spark, database):
+    for name, schema in (("SRC_PARENT", "ID int, NAME string"), ("SRC_CHILD", "ID int, PARENT_ID int")):
+        rows = [(1, "a"), (2, "b")] if name == "SRC_PARENT" else [(10, 1), (11, 2), (12, None)]
+        load.load_jdbc(spark.createDataFrame(rows, schema), database, name)
+    constraints = spark.createDataFrame(
+        [
+            ("APP", "PK_PARENT", "SRC_PARENT", "P", None, None, None), ("APP", "PK_CHILD", "SRC_CHILD", "P", None, None, None),
+            ("APP", "FK_CHILD", "SRC_CHILD", "R", "APP", "PK_PARENT", "CASCADE"),
+        ],
+        "owner string, constraint_name string, table_name string, constraint_type string, r_owner string, "
+        "r_constraint_name string, delete_rule string",
+    )
+    cons_columns = spark.createDataFrame(
+        [
+            ("APP", "PK_PARENT", "SRC_PARENT", "ID", 1), ("APP", "PK_CHILD", "SRC_CHILD", "ID", 1),
+            ("APP", "FK_CHILD", "SRC_CHILD", "PARENT_ID", 1),
+        ],
+        "owner string, constraint_name string, table_name string, column_name string, position int",
+    )
+    columns = spark.createDataFrame(
+        [("APP", "SRC_PARENT", "ID", "NUMBER", '"APP"."ISEQ_1".nextval', 1)],
+        "owner string, table_name string, column_name string, data_type string, data_default string, position int",
+    )
+    specs = table_specs(
+        spark, database, "APP", ["SRC_PARENT", "SRC_CHILD"], constraints, cons_columns, columns, partitions=2, qualified=False
+    )
+    assert specs["src_child"].primary_key == ("id",) and specs["src_parent"].auto_column == "id"
+    assert specs["src_parent"].data.rdd.getNumPartitions() == 2
+    # The target uses other names than the source, as both live in one engine here.
+    target = load.JdbcTarget(database, "TARGET")
+    spark._jvm.java.sql.DriverManager.getConnection(database.url).createStatement().execute("CREATE SCHEMA TARGET")
+    report = {r["table_name"]: r for r in migrate(spark, specs, target).collect()}
+    assert {n: (r["state"], r["level"], r["rows_out"], r["fk_orphan_rows"]) for n, r in report.items()} == {
+        "src_parent": ("done", 0, 2, 0), "src_child": ("done", 1, 3, 0),
+    }
+    assert report["src_parent"]["next_value"] == 3
