@@ -23,6 +23,20 @@ _LOCAL_DIRS: dict[str, str] = {}
 _MADE: list[tuple[str, str]] = []
 
 
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Settings for a run over ``input_bytes`` of stored data.
+
+    Shuffles start with partitions of about half a gigabyte and AQE merges those that turn out small. Above 50,000
+    partitions the block bookkeeping costs more than smaller partitions save.
+    """
+    partitions = min(50_000, max(200, input_bytes // (512 << 20)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    }
+
+
 def build_session(app_name: str = "portage", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:

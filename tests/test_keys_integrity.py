@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
+
 from portage.operators import conflicts, integrity, inventory, keys, reconcile, sequences
+from portage.sources.tables import parquet_table
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +130,28 @@ def test_kinds_and_system_schemas(spark):
         spark.createDataFrame([("o", "t", "TABLE"), ("o", "v", "VIEW")], "owner string, name string, type string")
     )
     assert tables.count() == 1 and rest.first()["name"] == "v"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checks_read_keys_only_and_combine_before_the_shuffle(spark):
+    lines = parquet_table(spark, SF, "lineitem")
+    for df in (
+        integrity.pk_violations(lines, ["l_orderkey", "l_linenumber"]),
+        integrity.fk_orphans(lines, ["l_orderkey"], parquet_table(spark, SF, "orders"), ["o_orderkey"]),
+        reconcile.reconcile_content(lines.select("l_orderkey"), lines.select("l_orderkey"), ["l_orderkey"]),
+    ):
+        plan = plan_of(df)
+        assert "partial_" in plan and "l_extendedprice" not in plan and "l_shipdate" not in plan
+        # Counting happens below the exchange.
+        assert plan.index("Exchange hashpartitioning") < plan.rindex("partial_")
+
+
+def test_no_operator_joins_without_keys(spark, catalog):
+    for df in (keys.fk_grouped(*catalog), keys.fk_edges(catalog[0]), keys.auto_columns(
+        spark.createDataFrame([("APP", "T", "ID", "s.nextval")], "owner string, table_name string, column_name string, data_default string"),
+        keys.pk_columns(*catalog),
+    )):
+        assert "NestedLoop" not in plan_of(df) and "Cartesian" not in plan_of(df)

@@ -8,7 +8,8 @@ from conftest import SF
 from portage.operators import load, runlog, script, stored_code
 from portage.plans.migrate import ForeignKey, TableSpec, migrate
 from portage.plans.from_catalog import table_specs
-from portage.session import drop_dir, new_work_dir, path_exists, work_root
+from portage.session import drop_dir, new_work_dir, path_exists, sized_for, work_root
+from portage.sources.database_catalog import ORACLE, POSTGRES, DatabaseCatalog
 from portage.sources.tables import JdbcSource, extract, has_rows, parquet_table
 
 
@@ -184,3 +185,22 @@ def test_database_to_database_from_catalog_rows(spark, database):
         "src_parent": ("done", 0, 2, 0), "src_child": ("done", 1, 3, 0),
     }
     assert report["src_parent"]["next_value"] == 3
+
+
+def test_catalog_queries_quote_the_owner(database):
+    for queries in (ORACLE, POSTGRES):
+        catalog = DatabaseCatalog(database, "O'NEIL", queries)
+        for name in queries:
+            assert "'O''NEIL'" in catalog.sql(name) and "{" not in catalog.sql(name)
+
+
+def test_catalog_table_has_lower_case_columns(spark, database):
+    catalog = DatabaseCatalog(database, "SYS", {"cat_tables": "SELECT TABLENAME AS table_name FROM SYS.SYSTABLES WHERE {owner} = 'SYS'"})
+    found = catalog.table(spark, "cat_tables")
+    assert found.columns == ["table_name"] and found.where("table_name = 'SYSTABLES'").count() == 1
+
+
+def test_partitions_follow_the_data_size():
+    assert sized_for(1)["spark.sql.shuffle.partitions"] == "200"
+    assert int(sized_for(10 << 40)["spark.sql.shuffle.partitions"]) == 20480
+    assert sized_for(100 << 40)["spark.sql.shuffle.partitions"] == "50000"

@@ -149,11 +149,12 @@ def test_containment_against_brute_force(spark):
     texts = [
         "select * from app.emp;", "employees of app.empire", "a-b c", "the quick brown fox jumps", "quick brown  fox jumps over",
         "x", "", "  lead and trail  ", "über-größe und mehr und noch mehr", "app.employee app .emp", "and,so,on and so on it goes",
-        "emp", "tempo",
+        "emp", "tempo", "漢字" * 100 + "終", "漢字" * 100, "z" * 70 + ".y",
     ]
     names = [
         "emp", "app.emp", "quick brown fox", "quick brown fox jumps", "the quick brown fox jumps", "brown  fox", "b c", "-", ".",
         "x", " trail  ", "größe und mehr und noch", "so on it", "mp", "nowhere to be found at all", "p.e", "and so on it goes", "e",
+        "字漢" * 60 + "字終", "z" * 66 + ".", "z" * 71,
     ]
     t = spark.createDataFrame(list(enumerate(texts)), "tid int, body string")
     n = spark.createDataFrame(list(enumerate(names)), "nid int, needle string")
