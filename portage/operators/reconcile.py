@@ -98,12 +98,24 @@ def row_hash(columns: list[str]) -> Column:
     return F.xxhash64(*parts)
 
 
+def _in_types_of(df: DataFrame, other: DataFrame) -> DataFrame:
+    wanted = {f.name: f.dataType for f in other.schema.fields}
+    return df.select(*[
+        F.col(f"`{f.name}`").try_cast(wanted[f.name]).alias(f.name)
+        if f.name in wanted and wanted[f.name] != f.dataType else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])
+
+
 def reconcile_content(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     """Keys that were ``lost``, ``added`` or ``changed``, comparing all common columns.
 
     Both sides are tagged and put through one aggregation on the key: one shuffle of key and hash instead of two
     and an outer join, combined map-side, so keys that repeat (also within a side) cannot pile up in a task.
+    Where a database changed a type (a number's width, a timestamp's zone) the target is compared in the source's
+    type; a value that does not fit it counts as changed.
     """
+    target = _in_types_of(target, source)
     common = [c for c in source.columns if c in target.columns and c not in key]
 
     def side(df: DataFrame, sign: int) -> DataFrame:

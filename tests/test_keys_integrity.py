@@ -90,6 +90,15 @@ def test_content_tells_nulls_and_copies_apart(spark, as_rows):
     ]
 
 
+def test_content_is_compared_in_the_types_of_the_source(spark, as_rows):
+    source = spark.sql("SELECT id, CAST(id AS INT) AS n, TIMESTAMP_NTZ'2020-01-02 03:04:05' AS t FROM range(4)")
+    target = spark.sql(
+        "SELECT CAST(id AS DECIMAL(20,0)) AS id, CAST(id AS DECIMAL(38,10)) + (CASE WHEN id = 2 THEN 7000000000 ELSE 0 END) AS n,"
+        " TIMESTAMP'2020-01-02 03:04:05' AS t FROM range(4)"
+    )
+    assert as_rows(reconcile.reconcile_content(source, target, ["id"])) == [(2, "changed", 1, 1)]
+
+
 def test_target_without_primary_key_fails(spark):
     source = spark.createDataFrame([("T", "ID"), ("U", "ID")], "table_name string, column_name string")
     target = spark.createDataFrame([("u", "id")], "table_name string, column_name string")
