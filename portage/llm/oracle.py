@@ -2,14 +2,62 @@
 
 from __future__ import annotations
 
+from portage.llm.chat import CLOSE, CONTROLS, ESCAPES, OPEN, PROBE
+from portage.llm.warc import BASE32
+
+
+def _escaped(text: str, line: bool = False) -> str:
+    """SQL for the text in which a conversation's text stands in the formatted one."""
+    text = f"replace({text}, '\\', '{ESCAPES['\\']}')"
+    for control in CONTROLS:
+        text = f"replace({text}, '{control}', '{ESCAPES[control[0]] + control[1:]}')"
+    return f"replace({text}, chr(10), '{ESCAPES[chr(10)]}')" if line else text
+
+
+def _base32(hexadecimal: str) -> str:
+    """SQL for the base 32 of 40 hex digits, five at a time."""
+    number = f"CAST('0x' || substr({hexadecimal}, 5 * i + 1, 5) AS INTEGER)"
+    digits = " || ".join(f"substr('{BASE32}', (({number} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"list_aggregate(list_transform(range(8), lambda i: {digits}), 'string_agg', '')"
+
+
+_PROBE = " UNION ALL ".join(f"SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in PROBE)
+
 _FOUND = {
+    "op1_exact_top_k_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        met AS (
+            SELECT q.vec_id AS query_id, d.vec_id,
+                CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM met) WHERE k <= 5""",
+    "op5_warc": f"""
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, {_base32("sha1(coalesce(html, ''))")} AS payload_digest
+            FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM k""",
+    "op10_chat_formatting": f"""
+        WITH t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text
+            FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {_PROBE}))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length({_escaped("role", line=True)}) + length({_escaped("text")}) + {len(OPEN) + len(CLOSE) + 2}) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op4_benchmark_decontamination": r"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
         b AS (
             SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_extract_all(translate(coalesce(text, ''),
-                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
             FROM benchmark),
         windows AS (
             SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS run
@@ -29,7 +77,7 @@ _FOUND = {
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op7_substring_dedup": r"""
         WITH d AS (
-            SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x <> '') AS w
+            SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         runs AS (
             SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS run

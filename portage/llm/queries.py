@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from portage.llm.bpe import op8_bpe_encoding_and_decoding
+from portage.llm.chat import op10_chat_formatting
+from portage.llm.covertree import op1_exact_top_k_search
 from portage.llm.decontaminate import op4_benchmark_decontamination
 from portage.llm.langid import op6_language_id
 from portage.llm.simhash import op3_simhash_near_dedup
 from portage.llm.substring import op7_substring_dedup
+from portage.llm.toxicity import op9_toxicity
+from portage.llm.urlfilter import op2_url_filters
+from portage.llm.warc import op5_warc
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_simhash_near_dedup, op4_benchmark_decontamination, op6_language_id, op7_substring_dedup,
-        op8_bpe_encoding_and_decoding,
+        op1_exact_top_k_search, op2_url_filters, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_warc,
+        op6_language_id, op7_substring_dedup, op8_bpe_encoding_and_decoding, op9_toxicity, op10_chat_formatting,
     )
 }
