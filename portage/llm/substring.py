@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portage.llm.common import as_bytes, bitmap, gram_hashes, in_tasks, marked, signed, staged, table, texts, winnow, word_hashes
@@ -15,7 +15,7 @@ from portage.llm.common import as_bytes, bitmap, gram_hashes, in_tasks, marked,
 #: Bits of the maps that keep what cannot repeat out of the shuffles: 8 MiB and 2 MiB at any size of the corpus.
 ANCHOR_BITS, DOC_BITS = 26, 24
 
-#: Occurrences up to which one automaton takes the passages of an anchor; beyond it every window is a key of its own.
+#: Occurrences up to which one automaton takes the passages of an anchor; beyond it passages and windows are hash keys.
 SHARD_ROWS = 1000
 
 
@@ -120,7 +120,7 @@ def _anchors(docs: DataFrame, k: int, width: int) -> DataFrame:
 def _passages(candidates: DataFrame, window: int, k: int) -> DataFrame:
     """The passages of the candidate documents around their repeated anchors: ``anchor``, ``hot``, place and words.
 
-    A passage is the union of the windows that chose one anchor. A hot anchor's windows become rows of their own.
+    A passage is the union of the windows that chose one anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +137,8 @@ def _passages(candidates: DataFrame, window: int, k: int) -> DataFrame:
                 stops = np.concatenate([starts[1:], [len(chosen)]])
                 few, many = set(few), set(many)
                 for lo, hi, h in zip(starts.tolist(), stops.tolist(), grams[chosen[starts]].view(np.int64).tolist()):
-                    if h in few:
-                        rows.append((h, False, kid, kh, lo, b" ".join(words[lo : hi - 1 + window])))
-                    elif h in many:
-                        rows += [(h, True, kid, kh, s, b" ".join(words[s : s + window])) for s in range(lo, hi)]
+                    if h in few or h in many:
+                        rows.append((h, h in many, kid, kh, lo, b" ".join(words[lo : hi - 1 + window])))
                 if len(rows) > 20_000:
                     yield packed(rows)
                     rows = []
@@ -197,15 +195,33 @@ def _matched(passages: DataFrame, window: int) -> DataFrame:
     return in_tasks(dealt.sortWithinPartitions("anchor", "kid", "kh", "start"), run, "kid long, kh long, from int, to int")
 
 
-def _hot_matched(windows: DataFrame, window: int) -> DataFrame:
-    """The same for the windows of hot anchors: all but the first of equal windows."""
-    place = F.struct("kid", "kh", "start")
-    key = ["anchor", "w"]
-    rows = windows.select("anchor", F.xxhash64("words").alias("w"), place.alias("place"))
-    first = rows.groupBy(*key).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(first, key).where("place <> first").select(
-        "place.kid", "place.kh", F.col("place.start").alias("from"), (F.col("place.start") + window).alias("to")
+def _hot_matched(passages: DataFrame, window: int) -> DataFrame:
+    """The same for the passages of hot anchors, by hash keys instead of one automaton each.
+
+    All but the first of equal passages are repeated as a whole. Only the first ones are taken apart into windows, of
+    which again all but the first of equal ones are repeated.
+    """
+
+    def marked_first(rows: DataFrame) -> DataFrame:
+        first = rows.groupBy("anchor", "same").agg(F.min("place").alias("first"))
+        return rows.join(first, ["anchor", "same"])
+
+    def spans(rows: DataFrame, size: Column) -> DataFrame:
+        return rows.where("place <> first").select(
+            "place.kid", "place.kh", F.col("place.start").alias("from"), (F.col("place.start") + size).alias("to")
+        )
+
+    words = F.split(F.col("words").cast("string"), " ")
+    whole = staged(marked_first(passages.select(
+        "anchor", F.xxhash64("words").alias("same"), F.struct("kid", "kh", "start").alias("place"), "words"
+    )).withColumn("words", words).withColumn("size", F.size("words")).withColumn(
+        "words", F.when(F.col("place") == F.col("first"), F.col("words"))
+    ), "hot-passages")
+    hashes = F.transform(F.sequence(F.lit(0), F.col("size") - window), lambda i: F.xxhash64(F.slice("words", i + 1, window)))
+    windows = whole.where("place = first").select("anchor", "place", F.posexplode(hashes).alias("i", "same")).select(
+        "anchor", "same", F.struct("place.kid", "place.kh", (F.col("place.start") + F.col("i")).alias("start")).alias("place")
     )
+    return spans(whole, F.col("size")).unionByName(spans(marked_first(windows), F.lit(window)))
 
 
 def _kept(candidates: DataFrame, spans: DataFrame) -> DataFrame:
