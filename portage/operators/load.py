@@ -5,15 +5,19 @@ from __future__ import annotations
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from portage.session import drop_dir, new_work_dir, path_exists
+from portage.session import drop_dir, new_work_dir, path_exists, remove_path
 from portage.sources.tables import JdbcSource
 
 #: Rows per JDBC insert batch. A million, as some tools ask for, holds too much of one partition in memory.
 JDBC_BATCH = 10_000
 
+#: What databases say of a table that does not exist, by SQL state or error number.
+ABSENT = ("42P01", "42X05", "42S02", "ORA-00942")
+
 
 @dataclass(frozen=True)
 class Loaded:
@@ -78,6 +82,10 @@ class ParquetTarget:
     def load(self, df: DataFrame, name: str, auto_column: str | None = None) -> Loaded:
         return load_parquet(df, self.path(name), auto_column)
 
+    def discard(self, spark: SparkSession, name: str) -> None:
+        """Take away a table that a failed load has left."""
+        remove_path(spark, self.path(name))
+
 
 @dataclass(frozen=True)
 class JdbcTarget:
@@ -91,10 +99,14 @@ class JdbcTarget:
         return f"{self.schema}.{name}" if self.schema else name
 
     def exists(self, spark: SparkSession, name: str) -> bool:
+        """Whether the table is there. Any error but the database's own word that it is not goes up to the caller:
+        a table that cannot be seen for a moment must not be taken for a new one."""
         try:
             self.database.query(spark, f"SELECT * FROM {self.table_name(name)} WHERE 1 = 0")
-        except Exception:  # the driver's own error class: there is no such table, or it may not be read
-            return False
+        except Exception as error:  # each driver has an error class of its own
+            if _says_absent(spark, error):
+                return False
+            raise
         return True
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
@@ -103,16 +115,32 @@ class JdbcTarget:
     def load(self, df: DataFrame, name: str, auto_column: str | None = None) -> Loaded:
         return load_jdbc(df, self.database, self.table_name(name), auto_column, self.connections)
 
+    def discard(self, spark: SparkSession, name: str) -> None:
+        """Take away the rows that a failed load has left. The empty table stays: Spark's writer drops none."""
+        if self.exists(spark, name):
+            self.load(self.read(spark, name).limit(0), name)
+
+
+def _says_absent(spark: SparkSession, error: Exception) -> bool:
+    """Whether an error of the database, or one that it caused, is about a table that does not exist."""
+    said, cause = str(error), getattr(error, "_origin", None) or getattr(error, "java_exception", None)
+    while cause is not None:
+        said += f"\n{cause.toString()}"
+        if is_instance_of(spark.sparkContext._gateway, cause, "java.sql.SQLException"):
+            said += f" {cause.getSQLState()}"
+        cause = cause.getCause()
+    return any(code in said for code in ABSENT)
+
 
 @contextmanager
 def snapshot(spark: SparkSession, target: ParquetTarget | JdbcTarget, name: str):
     """Keep a copy of a target table while the block runs.
 
     If the block raises, the table is overwritten with the copy and the error goes on; either way the copy is
-    deleted at the end. A table that does not exist yet needs no copy.
+    deleted at the end. A table that does not exist yet needs no copy, and is taken away again if the block raises.
     """
     copy = None
-    if target.exists(spark, name):
+    if there := target.exists(spark, name):
         copy = new_work_dir(spark, "snapshot")
         target.read(spark, name).write.parquet(copy)
     try:
@@ -120,6 +148,8 @@ def snapshot(spark: SparkSession, target: ParquetTarget | JdbcTarget, name: str)
     except BaseException:
         if copy:
             target.load(spark.read.parquet(copy), name)
+        elif not there:
+            target.discard(spark, name)
         raise
     finally:
         if copy:

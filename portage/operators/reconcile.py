@@ -32,21 +32,22 @@ def reconcile_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 def reconcile_pk(source: DataFrame, target: DataFrame) -> DataFrame:
     """Tables whose primary-key columns differ, by set equality both ways; names fold to lower case.
 
-    Both inputs hold ``table_name, column_name``. A target without any key fails.
+    Both inputs hold ``owner, table_name, column_name``; the target's owner is the one the source's table was moved from
+    or to, as the caller maps it. A target without any key fails.
     """
     def side(df: DataFrame, flag: str) -> DataFrame:
         other = "in_target" if flag == "in_source" else "in_source"
         return df.select(
-            F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"),
+            F.lower("owner").alias("owner"), F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"),
             F.lit(1).alias(flag), F.lit(0).alias(other),
         )
 
     both = side(source, "in_source").unionByName(side(target, "in_target"))
-    per_column = both.groupBy("table_name", "column_name").agg(
+    per_column = both.groupBy("owner", "table_name", "column_name").agg(
         F.max("in_source").alias("in_source"), F.max("in_target").alias("in_target")
     )
     return (
-        per_column.groupBy("table_name")
+        per_column.groupBy("owner", "table_name")
         .agg(
             F.count_if((F.col("in_source") == 1) & (F.col("in_target") == 0)).alias("missing_in_target"),
             F.count_if((F.col("in_source") == 0) & (F.col("in_target") == 1)).alias("only_in_target"),
@@ -58,13 +59,10 @@ def reconcile_pk(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def missing_constraints(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Foreign keys of the source whose name the target lacks; names fold to lower case."""
-    name = F.lower("constraint_name")
-    return (
-        source.withColumn("folded", name)
-        .join(target.select(name.alias("folded")).distinct(), "folded", "left_anti")
-        .drop("folded")
-    )
+    """Foreign keys of the source that the target's table of the same owner lacks; names fold to lower case."""
+    folded = {f"_{c}": F.lower(c) for c in ("owner", "table_name", "constraint_name")}
+    there = target.select(*[expression.alias(c) for c, expression in folded.items()]).distinct()
+    return source.withColumns(folded).join(there, list(folded), "left_anti").drop(*folded)
 
 
 def missing_sources(expected: DataFrame, target: DataFrame, bound_to: DataFrame | None = None) -> DataFrame:
@@ -98,24 +96,37 @@ def row_hash(columns: list[str]) -> Column:
     return F.xxhash64(*parts)
 
 
-def _in_types_of(df: DataFrame, other: DataFrame) -> DataFrame:
-    wanted = {f.name: f.dataType for f in other.schema.fields}
+def _named_like(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` with the names and types of the columns of ``other`` that it has in whatever case."""
+    wanted = {f.name.lower(): f for f in other.schema.fields}
     return df.select(*[
-        F.col(f"`{f.name}`").try_cast(wanted[f.name]).alias(f.name)
-        if f.name in wanted and wanted[f.name] != f.dataType else F.col(f"`{f.name}`")
+        F.col(f"`{f.name}`").try_cast(like.dataType).alias(like.name)
+        if (like := wanted.get(f.name.lower())) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
 
 
+def column_differences(source: DataFrame, target: DataFrame) -> list[tuple[str, str]]:
+    """Columns of one side only, as (column, ``lost_column`` or ``added_column``); case does not matter."""
+    here, there = ({c.lower() for c in df.columns} for df in (source, target))
+    return sorted([(c, "lost_column") for c in here - there] + [(c, "added_column") for c in there - here])
+
+
 def reconcile_content(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
-    """Keys that were ``lost``, ``added`` or ``changed``, comparing all common columns.
+    """Keys that were ``lost``, ``added`` or ``changed``, comparing all common columns; names match in any case.
+
+    A column that only one side has is a difference too: one row per such column, with its name in ``column_name``, a
+    null key and no counts. Without a key column in common nothing can be compared, which is an error.
 
     Both sides are tagged and put through one aggregation on the key: one shuffle of key and hash instead of two
     and an outer join, combined map-side, so keys that repeat (also within a side) cannot pile up in a task.
     Where a database changed a type (a number's width, a timestamp's zone) the target is compared in the source's
     type; a value that does not fit it counts as changed.
     """
-    target = _in_types_of(target, source)
+    target = _named_like(target, source)
+    key = [next((c for c in source.columns if c.lower() == k.lower()), k) for k in key]
+    if absent := [k for k in key if k not in source.columns or k not in target.columns]:
+        raise ValueError(f"both sides need the key column {absent[0]}")
     common = [c for c in source.columns if c in target.columns and c not in key]
 
     def side(df: DataFrame, sign: int) -> DataFrame:
@@ -130,12 +141,21 @@ def reconcile_content(source: DataFrame, target: DataFrame, key: list[str]) -> D
     totals = side(source, 1).unionByName(side(target, -1)).groupBy(*key).agg(
         F.sum("_source").alias("source_rows"), F.sum("_target").alias("target_rows"), F.sum("_diff").alias("_diff")
     )
-    return totals.where((F.col("source_rows") != F.col("target_rows")) | (F.col("_diff") != 0)).select(
+    rows = totals.where((F.col("source_rows") != F.col("target_rows")) | (F.col("_diff") != 0)).select(
         *key,
         F.when(F.col("target_rows") == 0, "lost")
         .when(F.col("source_rows") == 0, "added")
         .otherwise("changed")
         .alias("difference"),
+        F.lit(None).cast("string").alias("column_name"),
         "source_rows",
         "target_rows",
     )
+    apart = column_differences(source, target)
+    if not apart:
+        return rows
+    columns = source.sparkSession.createDataFrame(apart, "column_name string, difference string")
+    return rows.unionByName(columns.select(
+        *[F.lit(None).cast(source.schema[k].dataType).alias(k) for k in key], "difference", "column_name",
+        *[F.lit(None).cast("long").alias(c) for c in ("source_rows", "target_rows")],
+    ))

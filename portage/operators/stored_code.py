@@ -16,29 +16,24 @@ from portage.session import new_work_dir, stage
 
 _KEY = ["owner", "name", "type"]
 
-#: Lines in one segment of a body. Catalog lines hold 4,000 characters at most, so a segment stays below 200 MB.
-LINES_PER_SEGMENT = 50_000
 
+def assemble(lines: DataFrame) -> DataFrame:
+    """One row per object: its lines in order, joined by line feeds.
 
-def assemble(lines: DataFrame, lines_per_segment: int = LINES_PER_SEGMENT) -> DataFrame:
-    """One row per object and segment: its lines in order, joined by line feeds.
-
-    Almost every object is a single segment 0. One with more lines is spread over several rows, so no task ever
-    gathers an unbounded object; its whole text is the segments in order.
+    An object is translated as a whole, whatever its length, so its text is one value. A group is one stored object:
+    the databases bound its lines, and Spark its text to 2 GB; a longer one fails the job rather than being cut.
     """
-    segment = F.floor((F.col("line") - 1) / lines_per_segment).cast("int")
     return (
-        lines.withColumn("segment", segment)
-        .groupBy(*_KEY, "segment")
+        lines.groupBy(*_KEY)
         .agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("parts"))
-        .select(*_KEY, "segment", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("body"))
+        .select(*_KEY, F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("body"))
     )
 
 
 def view_bodies(views: DataFrame) -> DataFrame:
     """View texts as bodies: ``name AS text``."""
     return views.select(
-        "owner", F.col("view_name").alias("name"), F.lit("VIEW").alias("type"), F.lit(0).alias("segment"),
+        "owner", F.col("view_name").alias("name"), F.lit("VIEW").alias("type"),
         F.concat(F.lower("view_name"), F.lit(" AS "), F.col("text")).alias("body"),
     )
 
@@ -66,11 +61,6 @@ def masked(bodies: DataFrame) -> DataFrame:
     return bodies.withColumn("_atoms", R.literals(F.col("body"))).withColumn("_code", R.mask(F.col("body")))
 
 
-def oversize(bodies: DataFrame) -> DataFrame:
-    """Objects that were cut into several segments."""
-    return bodies.where(F.col("segment") > 0).select(*_KEY).distinct()
-
-
 def reads_system_views(bodies: DataFrame, views: DataFrame) -> DataFrame:
     """Objects that read a view of the system owner and therefore cannot be translated."""
     names = masked(bodies).select(*_KEY, F.explode(R.referenced_names(F.col("_code"))).alias("view_name"))
@@ -80,10 +70,11 @@ def reads_system_views(bodies: DataFrame, views: DataFrame) -> DataFrame:
 
 def _verdict(code: Column) -> Column:
     """Reason why the rewritten code cannot be used, or null."""
+    known = r"(?i)\b(?:dbms_output\.put_line|raise_\w+)\s*\("
     return (
         F.when(F.size(F.regexp_extract_all(code, F.lit(r"(?i)\bBEGIN\b"), F.lit(0))) > 1, "factory")
-        .when(code.rlike(r"(?i)\bDBMS_"), "unsupported")
-        .when(code.rlike(r"(?i)\braise_\w+\s*\("), "review")
+        .when(F.regexp_replace(code, known, "").rlike(r"(?i)\bDBMS_"), "unsupported")
+        .when(code.rlike(known), "review")
     )
 
 
@@ -91,11 +82,11 @@ def triage(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
     """``ok`` or ``failed`` with the reason, for every object.
 
     untranslatable: reads a system view; factory: a second BEGIN; unsupported: a package call no rule knows; review:
-    nested parentheses where a rule stops at the first; oversize: too long for one row. ``bodies`` is read several
-    times, so it should be a stored table.
+    nested parentheses where a rule stops at the first. ``bodies`` is read several times, so it should be a stored
+    table.
     """
     return _triaged(bodies, views, schema).select(
-        *_KEY, "segment", F.when(F.col("reason").isNull(), "ok").otherwise("failed").alias("status"), "reason"
+        *_KEY, F.when(F.col("reason").isNull(), "ok").otherwise("failed").alias("status"), "reason"
     )
 
 
@@ -106,16 +97,14 @@ def _triaged(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
     # The late rules are not run here: what matters is whether a call is left that none of them matches.
     left = F.regexp_replace("_code", r"(?i)\b(?:dbms_output\.put_line|raise_\w+)\s*\([^()]*\)\s*;", "")
     system = reads_system_views(bodies, views).withColumn("_system", F.lit(True))
-    big = oversize(bodies).withColumn("_big", F.lit(True))
     return (
         out.withColumn("_left", left)
         .join(system, _KEY, "left")
-        .join(big, _KEY, "left")
         .withColumn(
             "reason",
-            F.when(F.col("_big"), "oversize").when(F.col("_system"), "untranslatable").otherwise(_verdict(F.col("_left"))),
+            F.when(F.col("_system"), "untranslatable").otherwise(_verdict(F.col("_left"))),
         )
-        .drop("_left", "_system", "_big")
+        .drop("_left", "_system")
     )
 
 
@@ -215,16 +204,43 @@ def rewrite_block_triggers(accepted: DataFrame, schema: str) -> DataFrame:
     return _emitted(_finish(rows), F.col("target_name"), F.col("target_type"), F.col("_code"))
 
 
+def _calling(accepted: DataFrame) -> DataFrame:
+    called = accepted.where(F.col("type") == "TRIGGER").withColumn("callee", called_routine(F.col("_code")))
+    return called.where(F.col("callee") != "")
+
+
+def _callable(accepted: DataFrame) -> DataFrame:
+    return accepted.where(F.col("type").isin("PROCEDURE", "FUNCTION")).withColumn("callee", F.lower("name"))
+
+
+def without_routine(accepted: DataFrame) -> DataFrame:
+    """Triggers that call a routine which is missing or rejected, with that reason and their code as it was."""
+    routines = _callable(accepted).select("owner", "callee").distinct()
+    return _calling(accepted).join(routines, ["owner", "callee"], "left_anti").select(
+        *_KEY, F.lit("missing routine").alias("reason"), R.restore(F.col("_code"), F.col("_atoms")).alias("body")
+    )
+
+
+def trigger_balance(accepted: DataFrame, schema: str) -> DataFrame:
+    """Per owner how many triggers were accepted, emitted and set aside: the first is always the sum of the others."""
+    count = F.count(F.lit(1))
+    emitted = rewrite_block_triggers(accepted, schema).unionByName(rewrite_call_triggers(accepted, schema))
+    parts = [
+        accepted.where("type = 'TRIGGER'").groupBy("owner").agg(count.alias("accepted")),
+        emitted.where("target_type = 'TRIGGER'").groupBy("owner").agg(count.alias("emitted")),
+        without_routine(accepted).groupBy("owner").agg(count.alias("quarantined")),
+    ]
+    joined = reduce(lambda a, b: a.join(b, "owner", "full_outer"), parts)
+    return joined.select("owner", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("accepted", "emitted", "quarantined")))
+
+
 def rewrite_call_triggers(accepted: DataFrame, schema: str) -> DataFrame:
     """A trigger that calls a routine: the routine becomes a trigger function, its parameters trigger arguments.
 
     A routine called by many triggers is rewritten once; the triggers only look up that it exists. A trigger
-    whose routine is missing or rejected is not emitted.
+    whose routine is missing or rejected is not emitted: ``without_routine`` lists it.
     """
-    triggers = accepted.where(F.col("type") == "TRIGGER").withColumn("callee", called_routine(F.col("_code"))).where(
-        F.col("callee") != ""
-    )
-    routines = accepted.where(F.col("type").isin("PROCEDURE", "FUNCTION")).withColumn("callee", F.lower("name"))
+    triggers, routines = _calling(accepted), _callable(accepted)
     wanted = triggers.select("owner", "callee").distinct()
     called = routines.join(wanted, ["owner", "callee"], "left_semi")
     head = R.header_of(F.col("_code"))
@@ -280,13 +296,20 @@ def rewrite_all(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
 
 
 def with_drop(scripts: DataFrame, existing: DataFrame, schema: str) -> DataFrame:
-    """Scripts with a DROP in front for objects the target already has."""
+    """Scripts with a DROP in front for objects the target already has.
+
+    A trigger is dropped by its name on its table, which its own text names after ON.
+    """
     found = existing.select(
         F.lower("name").alias("target_name"), F.upper("type").alias("target_type")
     ).distinct().withColumn("_found", F.lit(True))
-    drop = F.concat(
-        F.lit("DROP "), F.col("target_type"), F.lit(f" {schema}."), F.col("target_name"), F.lit(" CASCADE;\n")
-    )
+    table = F.regexp_extract("script", r"(?i)\bON\s+([\w$#.\"]+)", 1)
+    drop = F.when(
+        F.col("target_type") == "TRIGGER",
+        F.concat(F.lit("DROP TRIGGER IF EXISTS "), F.col("target_name"), F.lit(" ON "), table, F.lit(";\n")),
+    ).otherwise(F.concat(
+        F.lit("DROP "), F.col("target_type"), F.lit(f" IF EXISTS {schema}."), F.col("target_name"), F.lit(" CASCADE;\n")
+    ))
     return scripts.join(found, ["target_name", "target_type"], "left").select(
         *scripts.columns[:-1], F.concat(F.when(F.col("_found"), drop).otherwise(""), "script").alias("script")
     )
@@ -294,7 +317,7 @@ def with_drop(scripts: DataFrame, existing: DataFrame, schema: str) -> DataFrame
 
 def quarantined(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
     """Rejected bodies with the reason, whole, for manual migration."""
-    return _triaged(bodies, views, schema).where(F.col("reason").isNotNull()).select(*_KEY, "segment", "reason", "body")
+    return _triaged(bodies, views, schema).where(F.col("reason").isNotNull()).select(*_KEY, "reason", "body")
 
 
 def write_quarantine(rejected: DataFrame, path: str) -> None:

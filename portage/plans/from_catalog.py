@@ -34,9 +34,15 @@ def table_specs(
     primary = {r["table_name"]: list(r["columns"]) for r in mine(keys.keys_grouped(pk))}
     foreign: dict[str, list[ForeignKey]] = {}
     for r in mine(keys.fk_grouped(constraints, cons_columns), "src_owner", "src_table"):
-        fk = ForeignKey(_lower(r["src_columns"]), r["ref_table"].lower(), _lower(r["ref_columns"]))
+        # A parent of another owner is outside the run, even if a table of this run has the same name.
+        parent = r["ref_table"].lower() if r["ref_owner"] == owner else f"{r['ref_owner']}.{r['ref_table']}".lower()
+        fk = ForeignKey(_lower(r["src_columns"]), parent, _lower(r["ref_columns"]))
         foreign.setdefault(r["src_table"], []).append(fk)
-    auto = {r["table_name"]: r["column_name"].lower() for r in mine(keys.auto_columns(columns, pk))}
+    # Of several columns with a sequence the first by name gives the table's restart value.
+    auto = {
+        r["table_name"]: r["column_name"].lower()
+        for r in sorted(mine(keys.auto_columns(columns, pk)), key=lambda r: r["column_name"], reverse=True)
+    }
 
     specs = {}
     for table in tables:

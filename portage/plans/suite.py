@@ -268,7 +268,7 @@ def kind_decode(spark, sf):
 @query
 def trigger_map(spark, sf):
     customer = _t(spark, sf, "customer")
-    functions = customer.where("c_acctbal > 0").select(
+    functions = customer.select(
         F.concat(F.lit("FN_"), "c_custkey").alias("function_name"), F.col("c_mktsegment").alias("function_owner")
     )
     tables = cat.cat_tables(spark, sf).select("table_name", F.col("owner").alias("table_owner"))
@@ -397,7 +397,7 @@ def recon_pk(spark, sf):
     found = keys.pk_columns(*_constraints(spark, sf))
     # The target lost the keys of one owner and has another column in those of a second.
     target = found.where("owner <> 'SALES_P'").select(
-        F.lower("table_name").alias("table_name"),
+        "owner", F.lower("table_name").alias("table_name"),
         F.when(F.col("owner") == "SALES_F", F.lit("extra")).otherwise(F.lower("column_name")).alias("column_name"),
     )
     return reconcile.reconcile_pk(found, target)
@@ -406,7 +406,7 @@ def recon_pk(spark, sf):
 @query
 def recon_fk(spark, sf):
     source = cat.cat_constraints(spark, sf).where("constraint_type = 'R'").select("owner", "table_name", "constraint_name")
-    target = source.where("owner <> 'SALES_O'").select(F.lower("constraint_name").alias("constraint_name"))
+    target = source.where("owner <> 'SALES_O'").select("owner", "table_name", F.lower("constraint_name").alias("constraint_name"))
     return reconcile.missing_constraints(source, target)
 
 
@@ -428,7 +428,11 @@ def recon_content(spark, sf):
     price = F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     kept = source.where("o_orderstatus <> 'P'").withColumn("o_totalprice", price)
     added = source.where("o_orderstatus = 'P'").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
-    return reconcile.reconcile_content(source, kept.unionByName(added), ["o_orderkey"])
+    # The target's names are in lower case, and it lost a column and has one of its own.
+    upper = source.withColumnsRenamed({c: c.upper() for c in source.columns})
+    target = kept.unionByName(added).drop("o_orderpriority").withColumn("loaded", F.lit(True))
+    found = reconcile.reconcile_content(upper, target, ["O_ORDERKEY"])
+    return found.withColumnRenamed("O_ORDERKEY", "o_orderkey")
 
 
 # Conflicts and plan -----------------------------------------------------------------------------------------
@@ -457,7 +461,7 @@ def conflict_keep(spark, sf):
 
 @query
 def conflict_sources(spark, sf):
-    lines = cat.shape(spark, sf, "order_source")
+    lines = cat.source_lines(spark, sf)
     selected = lines.select("owner", F.upper("name").alias("name"), "type").distinct()
     orders = _t(spark, sf, "orders")
     # Triggers exist in the target under another type, so they are no conflict.
@@ -553,10 +557,10 @@ def dep_blocked(spark, sf):
 
 @query
 def dep_cycles(spark, sf):
-    # Returned lines make the supplier depend on the customer, accepted ones the customer on the supplier.
+    # Returned lines make the supplier depend on the customer, the others the customer on the supplier.
     trade = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     customer, supplier = F.concat(F.lit("C"), "o_custkey"), F.concat(F.lit("S"), "l_suppkey")
-    bought = trade.where("l_returnflag = 'A'").select(customer.alias("child"), supplier.alias("parent"))
+    bought = trade.where("l_returnflag <> 'R'").select(customer.alias("child"), supplier.alias("parent"))
     returned = trade.where("l_returnflag = 'R'").select(supplier.alias("child"), customer.alias("parent"))
     # A conversation the user ends closes a cycle: its first turn depends on its last.
     turns = _t(spark, sf, "conversations")
@@ -595,7 +599,7 @@ def _routine_names(spark, sf):
 
 @query
 def dep_by_text(spark, sf):
-    bodies = _bodies(spark, sf).where("owner = 'APP'").select("name", "body")
+    bodies = _bodies(spark, sf).select("name", "body")
     names = _routine_names(spark, sf).withColumn("full_name", F.col("searched"))
     return contains_join(bodies, names, "name", "body", "full_name", "searched")
 
@@ -608,7 +612,7 @@ def _bodies(spark, sf):
 
 
 def _rule(spark, sf, rules, late=None):
-    return code.apply_rules(_bodies(spark, sf), rules, late).select("owner", "name", "type", "segment", "body")
+    return code.apply_rules(_bodies(spark, sf), rules, late).select("owner", "name", "type", "body")
 
 
 @query
@@ -679,7 +683,7 @@ def rw_sleep(spark, sf):
 @query
 def rw_dual(spark, sf):
     return code.apply_rules(_bodies(spark, sf).where("type = 'TRIGGER'"), [R.drop_dual]).select(
-        "owner", "name", "type", "segment", "body"
+        "owner", "name", "type", "body"
     )
 
 
@@ -708,7 +712,7 @@ def src_triage(spark, sf):
 def src_quarantine(spark, sf):
     path = new_work_dir(spark, "quarantine")
     code.write_quarantine(code.quarantined(_bodies(spark, sf), cat.cat_views(spark, sf), TARGET_SCHEMA), path)
-    schema = "owner string, name string, type string, segment int, body string, reason string"
+    schema = "owner string, name string, type string, body string, reason string"
     return spark.read.schema(schema).json(path)
 
 
@@ -731,6 +735,11 @@ def rw_trigger_call(spark, sf):
     return code.rewrite_call_triggers(_ready(spark, sf), TARGET_SCHEMA)
 
 
+@query
+def trigger_balance(spark, sf):
+    return code.trigger_balance(_ready(spark, sf), TARGET_SCHEMA)
+
+
 @query
 def rw_view(spark, sf):
     return code.rewrite_views(cat.cat_views(spark, sf), TARGET_SCHEMA)
@@ -740,7 +749,7 @@ def rw_view(spark, sf):
 
 
 def table_specs(spark, sf) -> dict[str, TableSpec]:
-    """The seven business tables with their keys; customers are filtered, and order lines follow their orders."""
+    """All tables with their keys; customers are filtered, and order lines follow their orders."""
     def fk(column, parent, parent_column):
         return ForeignKey((column,), parent, (parent_column,))
 
@@ -764,6 +773,13 @@ def table_specs(spark, sf) -> dict[str, TableSpec]:
             (fk("l_orderkey", "orders", "o_orderkey"), fk("l_partkey", "part", "p_partkey"),
              fk("l_suppkey", "supplier", "s_suppkey")),
         ),
+        "events": TableSpec(data["events"], ("event_id",), (), "event_id"),
+        "documents": TableSpec(data["documents"], ("doc_id",), (), "doc_id"),
+        "embeddings": TableSpec(data["embeddings"], ("vec_id",), (), "vec_id"),
+        "pages": TableSpec(data["pages"], ("page_id",), (), "page_id"),
+        "benchmark": TableSpec(data["benchmark"], ("item_id",), (), "item_id"),
+        "labels": TableSpec(data["labels"], ("doc_id",), (fk("doc_id", "documents", "doc_id"),)),
+        "conversations": TableSpec(data["conversations"], ("conv_id", "turn")),
     }
 
 

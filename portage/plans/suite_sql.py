@@ -21,7 +21,7 @@ FROM documents"""
 _CTES = {name: text.format(**{t: t for t in _INPUTS}) for name, text in SHAPES.items()}
 _CTES["source_lines"] = f"SELECT owner, name, type, line, text FROM ({_CTES['order_source']}) o UNION ALL {_DOC_LINES}"
 _CTES["bodies"] = """
-SELECT owner, name, type, CAST(floor((line - 1) / 50000) AS INT) AS segment, string_agg(text, chr(10) ORDER BY line, text) AS body
+SELECT owner, name, type, string_agg(text, chr(10) ORDER BY line, text) AS body
 FROM source_lines GROUP BY ALL"""
 _CTES["pk"] = """
 SELECT cc.owner, cc.table_name, cc.constraint_name, cc.column_name, cc.position FROM cat_cons_columns cc
@@ -85,7 +85,7 @@ def _q(text: str) -> str:
 
 
 _MASKED = f"""masked AS (
-SELECT owner, name, type, segment, body, regexp_extract_all(body, {_q(_ATOM)}) AS atoms,
+SELECT owner, name, type, body, regexp_extract_all(body, {_q(_ATOM)}) AS atoms,
   array_to_string(list_transform(regexp_split_to_array(body, {_q(_ATOM)}),
     lambda p, i: CASE WHEN i = 1 THEN p ELSE chr(1) || CAST(i - 2 AS VARCHAR) || chr(2) || p END), '') AS code
 FROM bodies)"""
@@ -167,7 +167,7 @@ def _raise_calls(code: str) -> str:
 
 
 def _rule(code: str, where: str = "true") -> str:
-    return _with(f"+{_MASKED} SELECT owner, name, type, segment, {_restore(code)} AS body FROM masked WHERE {where}", "bodies")
+    return _with(f"+{_MASKED} SELECT owner, name, type, {_restore(code)} AS body FROM masked WHERE {where}", "bodies")
 
 
 def _steps(start: str, steps: list[tuple[str, str]]) -> str:
@@ -191,16 +191,15 @@ SELECT owner, name, type, unnest(list_transform(regexp_extract_all(code, '(?i)\b
 system AS (SELECT DISTINCT n.owner, n.name, n.type FROM named n
   WHERE n.view_name IN (SELECT upper(view_name) FROM cat_views WHERE owner = 'SYS'))"""
 
+_KNOWN_CALL = r"(?i)\b(?:dbms_output\.put_line|raise_\w+)\s*\("
 _LEFT = _re("code", (r"(?i)\b(?:dbms_output\.put_line|raise_\w+)\s*\([^()]*\)\s*;", ""))
 _TRIAGED = f"""{_MASKED}, {_GENERAL}, {_SYSTEM},
 verdict AS (SELECT *, {_LEFT} AS rest FROM general),
 triaged AS (SELECT v.* EXCLUDE (rest), CASE
-  WHEN EXISTS (SELECT 1 FROM bodies b WHERE b.owner = v.owner AND b.name = v.name AND b.type = v.type AND b.segment > 0)
-    THEN 'oversize'
   WHEN s.name IS NOT NULL THEN 'untranslatable'
   WHEN len(regexp_extract_all(v.rest, '(?i)\\bBEGIN\\b')) > 1 THEN 'factory'
-  WHEN regexp_matches(v.rest, '(?i)\\bDBMS_') THEN 'unsupported'
-  WHEN regexp_matches(v.rest, '(?i)\\braise_\\w+\\s*\\(') THEN 'review' END AS reason
+  WHEN regexp_matches(regexp_replace(v.rest, {_q(_KNOWN_CALL)}, '', 'g'), '(?i)\\bDBMS_') THEN 'unsupported'
+  WHEN regexp_matches(v.rest, {_q(_KNOWN_CALL)}) THEN 'review' END AS reason
   FROM verdict v LEFT JOIN system s ON s.owner = v.owner AND s.name = v.name AND s.type = v.type),
 ready AS (SELECT * FROM triaged WHERE reason IS NULL)"""
 
@@ -291,7 +290,7 @@ UNION ALL SELECT owner, name, type, lower(name), 'TRIGGER', {_restore(_trigger('
   f"coalesce(nullif(regexp_extract(code, '(?i)CALL\\s+{_N}\\s*(\\([^()]*\\))', 1), ''), '()')"))} AS script
 FROM calls c WHERE EXISTS (SELECT 1 FROM routines r WHERE r.owner = c.owner AND r.target = c.callee)"""
 
-_VIEW = f"""+bodies AS (SELECT owner, view_name AS name, 'VIEW' AS type, 0 AS segment, lower(view_name) || ' AS ' || text AS body
+_VIEW = f"""+bodies AS (SELECT owner, view_name AS name, 'VIEW' AS type, lower(view_name) || ' AS ' || text AS body
   FROM cat_views WHERE owner <> 'SYS'), {_MASKED}
 SELECT owner, name, type, lower(name) AS target_name, 'VIEW' AS target_type,
   {_restore("('CREATE OR REPLACE VIEW " + S + ".' || " + _re('code', (r'"([^"]*)"', r'\1'), *TYPES, *_qualify('FROM')) + ")")} AS script
@@ -329,7 +328,15 @@ UNION ALL SELECT 'part', 0, (SELECT count(*) FROM part), 0, 0, (SELECT max(p_par
 UNION ALL SELECT 'orders', 3, (SELECT count(*) FROM o), 0,
   (SELECT count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)), (SELECT max(o_orderkey) + 1 FROM o)
 UNION ALL SELECT 'lineitem', 4, (SELECT count(*) FROM l), (SELECT n FROM dup),
-  (SELECT count(*) FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)), NULL)
+  (SELECT count(*) FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)), NULL
+UNION ALL SELECT 'labels', 1, count(*), count(*) - count(DISTINCT doc_id),
+  count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)), NULL FROM labels
+UNION ALL SELECT 'conversations', 0, count(*), 0, 0, NULL FROM conversations
+UNION ALL SELECT 'events', 0, count(*), 0, 0, max(event_id) + 1 FROM events
+UNION ALL SELECT 'documents', 0, count(*), 0, 0, max(doc_id) + 1 FROM documents
+UNION ALL SELECT 'embeddings', 0, count(*), 0, 0, max(vec_id) + 1 FROM embeddings
+UNION ALL SELECT 'pages', 0, count(*), 0, 0, max(page_id) + 1 FROM pages
+UNION ALL SELECT 'benchmark', 0, count(*), 0, 0, max(item_id) + 1 FROM benchmark)
 SELECT table_name, CAST(level AS INT) AS level, 'done' AS state, CAST(NULL AS VARCHAR) AS blocked_by,
   CAST(n AS BIGINT) AS rows_in, CAST(n AS BIGINT) AS rows_out, CAST(dups AS BIGINT) AS pk_violations,
   CAST(orphans AS BIGINT) AS fk_orphan_rows, CAST(next_value AS BIGINT) AS next_value FROM r"""
@@ -406,7 +413,7 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
     "trigger_map": _with("""SELECT t.schema, t.trigger_name, t.table_name, b.owner AS table_owner, t.function_name,
         c.c_mktsegment AS function_owner, CAST(substr(t.schema, 1, 1) AS INT) AS schema_id
         FROM cat_triggers t JOIN cat_tables b ON b.table_name = t.table_name
-        JOIN customer c ON 'FN_' || c.c_custkey = t.function_name AND c.c_acctbal > 0 WHERE NOT t.is_internal""",
+        JOIN customer c ON 'FN_' || c.c_custkey = t.function_name WHERE NOT t.is_internal""",
         "cat_triggers", "cat_tables"),
     "pk_columns": _with("SELECT * FROM pk", "pk"),
     "fk_columns": _with("""SELECT cc.owner, cc.table_name, cc.constraint_name, cc.column_name, cc.position
@@ -443,15 +450,15 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
         UNION ALL SELECT 'lineitem', count(*), count(*) FILTER (l_returnflag = 'R'),
           CASE WHEN count(*) = count(*) FILTER (l_returnflag = 'R') THEN 'done' ELSE 'failed' END FROM lineitem
         UNION ALL SELECT 'part', count(*), NULL, 'failed' FROM part""",
-    "recon_pk": _with("""+side AS (SELECT DISTINCT lower(table_name) AS t, lower(column_name) AS c, 1 AS s FROM pk
-          UNION SELECT lower(table_name), CASE WHEN owner = 'SALES_F' THEN 'extra' ELSE lower(column_name) END, 2
+    "recon_pk": _with("""+side AS (SELECT DISTINCT lower(owner) AS o, lower(table_name) AS t, lower(column_name) AS c, 1 AS s FROM pk
+          UNION SELECT lower(owner), lower(table_name), CASE WHEN owner = 'SALES_F' THEN 'extra' ELSE lower(column_name) END, 2
           FROM pk WHERE owner <> 'SALES_P'),
-        per AS (SELECT t, c, min(s) AS lo, max(s) AS hi FROM side GROUP BY t, c)
-        SELECT t AS table_name, count(*) FILTER (hi = 1) AS missing_in_target, count(*) FILTER (lo = 2) AS only_in_target,
-          CASE WHEN count(*) FILTER (lo = hi) = 0 THEN 'done' ELSE 'failed' END AS state FROM per GROUP BY t""", "pk"),
+        per AS (SELECT o, t, c, min(s) AS lo, max(s) AS hi FROM side GROUP BY o, t, c)
+        SELECT o AS owner, t AS table_name, count(*) FILTER (hi = 1) AS missing_in_target, count(*) FILTER (lo = 2) AS only_in_target,
+          CASE WHEN count(*) FILTER (lo = hi) = 0 THEN 'done' ELSE 'failed' END AS state FROM per GROUP BY o, t""", "pk"),
     "recon_fk": _with("""SELECT owner, table_name, constraint_name FROM cat_constraints WHERE constraint_type = 'R'
-        AND lower(constraint_name) NOT IN (SELECT lower(constraint_name) FROM cat_constraints
-          WHERE constraint_type = 'R' AND owner <> 'SALES_O')""", "cat_constraints"),
+        AND (owner, table_name, lower(constraint_name)) NOT IN (SELECT (owner, table_name, lower(constraint_name))
+          FROM cat_constraints WHERE constraint_type = 'R' AND owner <> 'SALES_O')""", "cat_constraints"),
     "recon_sources": """SELECT 'src_' || o_orderkey AS name,
           CASE o_orderstatus WHEN 'F' THEN 'FUNCTION' WHEN 'O' THEN 'PROCEDURE' ELSE 'TRIGGER' END AS type,
           CASE WHEN o_orderpriority = '5-LOW' THEN 'absent' ELSE 'not bound' END AS reason FROM orders
@@ -463,10 +470,12 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
             WHERE o_orderstatus = 'P')
         SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
           CASE WHEN t.o_orderkey IS NULL THEN 'lost' WHEN s.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS difference,
-          CAST(s.o_orderkey IS NOT NULL AS BIGINT) AS source_rows, CAST(t.o_orderkey IS NOT NULL AS BIGINT) AS target_rows
+          CAST(NULL AS VARCHAR) AS column_name, CAST(s.o_orderkey IS NOT NULL AS BIGINT) AS source_rows, CAST(t.o_orderkey IS NOT NULL AS BIGINT) AS target_rows
         FROM orders s FULL OUTER JOIN tgt t ON t.o_orderkey = s.o_orderkey
-        WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR (s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate,
-          s.o_orderpriority) IS DISTINCT FROM (t.o_custkey, t.o_orderstatus, t.o_totalprice, t.o_orderdate, t.o_orderpriority)""",
+        WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR (s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate)
+          IS DISTINCT FROM (t.o_custkey, t.o_orderstatus, t.o_totalprice, t.o_orderdate)
+        UNION ALL SELECT NULL, 'lost_column', 'o_orderpriority', NULL, NULL
+        UNION ALL SELECT NULL, 'added_column', 'loaded', NULL, NULL""",
     "conflict_tables": _with(
         "SELECT * FROM cat_tables WHERE lower(table_name) IN (SELECT table_name FROM existing)", "cat_tables", "existing"),
     "conflict_keep": _with("""SELECT * FROM cat_tables WHERE lower(table_name) NOT IN (SELECT table_name FROM existing)
@@ -511,7 +520,7 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
         "edges", recursive=True),
     "dep_cycles": _with("""trade AS (SELECT 'C' || o_custkey AS c, 'S' || l_suppkey AS s, l_returnflag AS f
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-        links AS (SELECT c AS child, s AS parent FROM trade WHERE f = 'A' UNION SELECT s, c FROM trade WHERE f = 'R'
+        links AS (SELECT c AS child, s AS parent FROM trade WHERE f <> 'R' UNION SELECT s, c FROM trade WHERE f = 'R'
           UNION SELECT * FROM turn_edges
           UNION SELECT 'TURN_' || conv_id || '_0', 'TURN_' || conv_id || '_' || turn FROM conversations v
             WHERE role = 'user' AND turn = (SELECT max(turn) FROM conversations m WHERE m.conv_id = v.conv_id) AND turn > 0),
@@ -525,11 +534,10 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
           SELECT CASE WHEN p_size > 40 THEN 'other.' ELSE '' END || 'part_' || p_partkey AS full_name FROM part
           UNION SELECT 'seq_' || s_suppkey FROM supplier UNION SELECT 'customer_' || c_custkey FROM customer
           UNION SELECT 'other.dept' FROM region),
-        texts AS (SELECT name, string_agg(text, chr(10) ORDER BY line, text) AS body FROM order_source GROUP BY owner, name, type)
-        SELECT DISTINCT n.full_name, t.name FROM named n JOIN texts t ON position(n.full_name IN t.body) > 0""", "order_source"),
+        texts AS (SELECT name, body FROM bodies)
+        SELECT DISTINCT n.full_name, t.name FROM named n JOIN texts t ON position(n.full_name IN t.body) > 0""", "bodies"),
     "src_assemble": _with("""SELECT * FROM bodies UNION ALL SELECT 'CHAT', 'conv_' || conv_id, 'PROCEDURE',
-        CAST(floor((turn - 1) / 50000) AS INT), string_agg(text, chr(10) ORDER BY turn, text) FROM conversations
-        GROUP BY conv_id, floor((turn - 1) / 50000)""", "bodies"),
+        string_agg(text, chr(10) ORDER BY turn, text) FROM conversations GROUP BY conv_id""", "bodies"),
     "src_tokens": r"""WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
           '^(\S+\s+[^\s(]+)\(', '\1 ('), '\s+') AS tokens FROM documents)
         SELECT doc_id, CAST(unnest(range(0, len(tokens))) AS INT) AS pos, unnest(tokens) AS token FROM d""",
@@ -543,7 +551,7 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
     "rw_pragma": _rule(_re("code", *PRAGMAS)),
     "rw_raise": _with(
         f"+{_MASKED}, {_steps('masked', [('r1', _re('code', *RAISE_NAME)), ('r2', _raise_calls('code'))])} "
-        f"SELECT owner, name, type, segment, {_restore('code')} AS body FROM r2", "bodies"),
+        f"SELECT owner, name, type, {_restore('code')} AS body FROM r2", "bodies"),
     "rw_notice": _rule(_notices("code")),
     "rw_sleep": _rule(_re("code", *SLEEP)),
     "rw_dual": _rule(_re("code", *DROP_DUAL), "type = 'TRIGGER'"),
@@ -552,13 +560,20 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
         f"+{_MASKED}, {_steps('masked', [('c1', _re('code', *CURSORS))])} "
         f"SELECT owner, name, type, {_LOOP_RECORD} AS declaration FROM c1", "bodies"),
     "src_untranslatable": _with(f"+{_MASKED}, {_SYSTEM} SELECT * FROM system", "bodies", "cat_views"),
-    "src_triage": _with(f"""+{_TRIAGED} SELECT owner, name, type, segment,
+    "src_triage": _with(f"""+{_TRIAGED} SELECT owner, name, type,
         CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason FROM triaged""", "bodies", "cat_views"),
-    "src_quarantine": _with(f"""+{_TRIAGED} SELECT owner, name, type, segment, body, reason FROM triaged
+    "src_quarantine": _with(f"""+{_TRIAGED} SELECT owner, name, type, body, reason FROM triaged
         WHERE reason IS NOT NULL""", "bodies", "cat_views"),
     "rw_envelope": _with(_ENVELOPE, "bodies", "cat_views"),
     "rw_trigger": _with(_BLOCK_TRIGGERS, "bodies", "cat_views"),
     "rw_trigger_call": _with(_CALL_TRIGGERS, "bodies", "cat_views"),
+    "trigger_balance": _with(f"""+{_TRIAGED},
+        t AS (SELECT *, {_CALLED} AS callee FROM ready WHERE type = 'TRIGGER'),
+        r AS (SELECT DISTINCT owner, lower(name) AS target FROM ready WHERE type IN ('PROCEDURE', 'FUNCTION')),
+        j AS (SELECT t.owner, t.callee = '' OR r.target IS NOT NULL AS runs FROM t
+          LEFT JOIN r ON r.owner = t.owner AND r.target = t.callee)
+        SELECT owner, count(*) AS accepted, count(*) FILTER (runs) AS emitted, count(*) FILTER (NOT runs) AS quarantined
+        FROM j GROUP BY owner""", "bodies", "cat_views"),
     "rw_view": _with(_VIEW, "cat_views"),
     "migrate_report": _REPORT.format(orders_where="", lines_where=""),
     "migrate_referential": _REPORT.format(

@@ -23,13 +23,13 @@ _LOCAL_DIRS: dict[str, str] = {}
 _MADE: list[tuple[str, str]] = []
 
 
-def sized_for(input_bytes: int) -> dict[str, str]:
+def sized_for(input_bytes: int, most_partitions: int = 50_000) -> dict[str, str]:
     """Settings for a run over ``input_bytes`` of stored data.
 
-    Shuffles start with partitions of about half a gigabyte and AQE merges those that turn out small. Above 50,000
-    partitions the block bookkeeping costs more than smaller partitions save.
+    Shuffles start with partitions of about half a gigabyte and AQE merges those that turn out small. Above
+    ``most_partitions`` the block bookkeeping is taken to cost more than smaller partitions save.
     """
-    partitions = min(50_000, max(200, input_bytes // (512 << 20)))
+    partitions = min(most_partitions, max(200, input_bytes // (512 << 20)))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
@@ -89,13 +89,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a work folder this library made, on whichever file system it lies."""
     if not path.startswith(work_root(spark) + "/"):
         raise ValueError(f"{path} is not below the work folder")
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    file_system.delete(jvm_path, True)
+    remove_path(spark, path)
 
 
 def drop_work_dirs(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ ORACLE = {
     "cat_columns": """SELECT owner, table_name, column_name, data_type, data_default, column_id AS position
         FROM all_tab_columns WHERE owner = {owner}""",
     "cat_constraints": f"""SELECT owner, constraint_name, table_name, constraint_type, r_owner, r_constraint_name, delete_rule
-        FROM all_constraints WHERE constraint_type IN ('P', 'R') AND {_WANTED}""",
+        FROM all_constraints WHERE constraint_type IN ('P', 'U', 'R') AND {_WANTED}""",
     "cat_cons_columns": f"""SELECT owner, constraint_name, table_name, column_name, position
         FROM all_cons_columns WHERE {_WANTED}""",
     "cat_dependencies": """SELECT owner, name, type, referenced_owner, referenced_name, referenced_type
@@ -39,13 +39,13 @@ POSTGRES = {
     "cat_columns": """SELECT table_schema AS owner, table_name, column_name, data_type, column_default AS data_default,
         ordinal_position AS position FROM information_schema.columns WHERE table_schema = {owner}""",
     "cat_constraints": """SELECT n.nspname AS owner, c.conname AS constraint_name, t.relname AS table_name,
-        CASE c.contype WHEN 'p' THEN 'P' ELSE 'R' END AS constraint_type, rn.nspname AS r_owner, r.conname AS r_constraint_name,
+        CASE c.contype WHEN 'p' THEN 'P' WHEN 'u' THEN 'U' ELSE 'R' END AS constraint_type, rn.nspname AS r_owner, r.conname AS r_constraint_name,
         CASE c.confdeltype WHEN 'c' THEN 'CASCADE' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT'
           WHEN 'r' THEN 'RESTRICT' WHEN 'a' THEN 'NO ACTION' END AS delete_rule
         FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace
         LEFT JOIN pg_constraint r ON r.conrelid = c.confrelid AND r.conindid = c.conindid AND r.contype IN ('p', 'u')
         LEFT JOIN pg_namespace rn ON rn.oid = r.connamespace
-        WHERE n.nspname = {owner} AND c.contype IN ('p', 'f')""",
+        WHERE n.nspname = {owner} AND c.contype IN ('p', 'u', 'f')""",
     "cat_cons_columns": """SELECT constraint_schema AS owner, constraint_name, table_name, column_name,
         ordinal_position AS position FROM information_schema.key_column_usage WHERE constraint_schema = {owner}""",
     "cat_sequences": """SELECT schemaname AS sequence_owner, sequencename AS sequence_name, last_value AS last_number,

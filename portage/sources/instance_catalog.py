@@ -248,7 +248,7 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored code assembled, one row per object and segment."""
+    """The stored code assembled, one row per object."""
     return _written_once(spark, folder, "bodies", lambda: assemble(source_lines(spark, folder)))
 
 

@@ -92,8 +92,8 @@ def extract(df: DataFrame, how: Extraction | None = None) -> DataFrame:
 
 
 def has_rows(df: DataFrame, label: str) -> DataFrame:
-    """One row telling whether ``df`` has a readable row; the scan stops at the first one."""
-    return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_rows")).select(F.lit(label).alias("table_name"), "has_rows")
+    """One row telling whether ``df`` has a readable row; the scan goes on by a few partitions until there is one."""
+    return df.sparkSession.createDataFrame([(label, not df.isEmpty())], "table_name string, has_rows boolean")
 
 
 def filters_from_rows(rows: Iterable[dict]) -> tuple[ColumnFilter, ...]:

@@ -27,6 +27,15 @@ def test_between_takes_negatives_and_dates(amounts):
     assert ids(apply_filters(amounts, [ColumnFilter("day", "BETWEEN", "2020-01-31", "2020-02-01")])) == [1, 2]
 
 
+def test_bounds_are_not_rounded_to_the_column_type(spark):
+    df = spark.sql("SELECT id, CAST(id / 100 AS DECIMAL(15,2)) AS price FROM VALUES (44L), (45L), (46L) t(id)")
+    assert ids(apply_filters(df, [ColumnFilter("id", "<", 45.7)])) == [44, 45]
+    assert ids(apply_filters(df, [ColumnFilter("id", "=", 45.7)])) == []
+    assert ids(apply_filters(df, [ColumnFilter("id", "BETWEEN", "44.5", "45.0")])) == [45]
+    assert ids(apply_filters(df, [ColumnFilter("price", ">", 0.445)])) == [45, 46]
+    assert ids(apply_filters(df, [ColumnFilter("price", "<=", "0.4501")])) == [44, 45]
+
+
 def test_text_values_are_bound_not_spliced(amounts):
     assert ids(apply_filters(amounts, [ColumnFilter("note", "LIKE", "it's")])) == [1]
     assert ids(apply_filters(amounts, [ColumnFilter("note", "LIKE", "a b")])) == [2]

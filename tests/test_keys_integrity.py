@@ -35,10 +35,9 @@ def test_composite_key_pairs_by_position(catalog):
     assert found["FK_I"]["on_delete"] == "SET NULL"
 
 
-def test_key_position_beyond_the_limit_fails(spark, catalog):
-    broken = spark.createDataFrame([("APP", "T", "PK", "C", 33)], "owner string, table_name string, constraint_name string, column_name string, position int")
-    with pytest.raises(Exception, match="key position"):
-        keys.keys_grouped(broken).collect()
+def test_a_wide_key_is_kept_whole(spark, catalog):
+    wide = spark.createDataFrame([("APP", "T", "PK", f"C{i}", i) for i in range(1, 41)], "owner string, table_name string, constraint_name string, column_name string, position int")
+    assert keys.keys_grouped(wide).first()["columns"] == [f"C{i}" for i in range(1, 41)]
 
 
 def test_auto_column_is_a_key_column_with_a_sequence(spark):
@@ -86,7 +85,7 @@ def test_content_tells_nulls_and_copies_apart(spark, as_rows):
     source = spark.createDataFrame([(1, None, "x"), (2, "s", "s"), (3, "p", "p"), (4, "q", "q"), (4, "q", "q")], schema)
     target = spark.createDataFrame([(1, "x", None), (2, "s", "s"), (4, "q", "q"), (5, "n", "n")], schema)
     assert as_rows(reconcile.reconcile_content(source, target, ["k"])) == [
-        (1, "changed", 1, 1), (3, "lost", 1, 0), (4, "changed", 2, 1), (5, "added", 0, 1),
+        (1, "changed", None, 1, 1), (3, "lost", None, 1, 0), (4, "changed", None, 2, 1), (5, "added", None, 0, 1),
     ]
 
 
@@ -96,14 +95,49 @@ def test_content_is_compared_in_the_types_of_the_source(spark, as_rows):
         "SELECT CAST(id AS DECIMAL(20,0)) AS id, CAST(id AS DECIMAL(38,10)) + (CASE WHEN id = 2 THEN 7000000000 ELSE 0 END) AS n,"
         " TIMESTAMP'2020-01-02 03:04:05' AS t FROM range(4)"
     )
-    assert as_rows(reconcile.reconcile_content(source, target, ["id"])) == [(2, "changed", 1, 1)]
+    assert as_rows(reconcile.reconcile_content(source, target, ["id"])) == [(2, "changed", None, 1, 1)]
+
+
+def test_content_matches_names_in_any_case_and_reports_lost_columns(spark, as_rows):
+    source = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "ID int, NAME string, NOTE string")
+    target = spark.createDataFrame([(1, "a", True), (2, "c", True)], "id int, name string, loaded boolean")
+    assert as_rows(reconcile.reconcile_content(source, target, ["id"])) == sorted([
+        (2, "changed", None, 1, 1), (None, "added_column", "loaded", None, None), (None, "lost_column", "note", None, None),
+    ], key=repr)
+    with pytest.raises(ValueError, match="key column"):
+        reconcile.reconcile_content(source, target.drop("id"), ["id"])
 
 
 def test_target_without_primary_key_fails(spark):
-    source = spark.createDataFrame([("T", "ID"), ("U", "ID")], "table_name string, column_name string")
-    target = spark.createDataFrame([("u", "id")], "table_name string, column_name string")
-    states = {r["table_name"]: r["state"] for r in reconcile.reconcile_pk(source, target).collect()}
-    assert states == {"t": "failed", "u": "done"}
+    schema = "owner string, table_name string, column_name string"
+    source = spark.createDataFrame([("A", "T", "ID"), ("A", "U", "ID"), ("B", "U", "ID")], schema)
+    target = spark.createDataFrame([("a", "u", "id")], schema)
+    states = {(r["owner"], r["table_name"]): r["state"] for r in reconcile.reconcile_pk(source, target).collect()}
+    assert states == {("a", "t"): "failed", ("a", "u"): "done", ("b", "u"): "failed"}
+
+
+def test_foreign_keys_of_the_same_name_in_two_owners_are_told_apart(spark, as_rows):
+    schema = "owner string, table_name string, constraint_name string"
+    source = spark.createDataFrame([("A", "T", "FK"), ("B", "T", "FK")], schema)
+    target = spark.createDataFrame([("a", "t", "fk")], schema)
+    assert as_rows(reconcile.missing_constraints(source, target)) == [("B", "T", "FK")]
+
+
+def test_keys_may_refer_to_unique_constraints(spark, as_rows):
+    schema = "owner string, constraint_name string, table_name string, constraint_type string, r_owner string, r_constraint_name string"
+    constraints = spark.createDataFrame([
+        ("A", "U1", "P", "U", None, None), ("A", "F1", "C", "R", "A", "U1"), ("A", "P1", "Q", "P", None, None), ("A", "F2", "C", "R", "A", "P1"),
+    ], schema)
+    assert as_rows(keys.fk_edges(constraints)) == [("A.C", "A.P"), ("A.C", "A.Q")]
+
+
+def test_sequences_of_defaults_in_both_spellings(spark):
+    spelt = {
+        '"HR"."EMP_SEQ".nextval': "EMP_SEQ", "emp_seq.nextval": "emp_seq", "nextval('orders_id_seq'::regclass)": "orders_id_seq",
+        "nextval('app.\"Orders_Id\"'::regclass)": "Orders_Id", "NEXTVAL('app.s1')": "s1",
+    }
+    df = spark.createDataFrame([(d,) for d in spelt], "d string")
+    assert [r[0] for r in df.select(keys.sequence_of(df.d)).collect()] == list(spelt.values())
 
 
 def test_conflicts_fold_case(spark, as_rows):

@@ -1,4 +1,5 @@
 import glob
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,21 @@ def check_snapshot(spark, target):
 
 
 def test_snapshot_of_a_folder(spark, tmp_path):
-    check_snapshot(spark, load.ParquetTarget(str(tmp_path)))
+    target = load.ParquetTarget(str(tmp_path))
+    check_snapshot(spark, target)
+    with pytest.raises(RuntimeError), load.snapshot(spark, target, "new"):
+        target.load(spark.range(2).toDF("k"), "new")
+        raise RuntimeError
+    assert not target.exists(spark, "new")
+
+
+def test_a_failed_new_table_leaves_nothing_and_self_references_are_checked(spark, tmp_path):
+    staff = spark.createDataFrame([(1, None), (2, 1), (3, 99)], "id int, boss int")
+    own = (ForeignKey(("boss",), "emp", ("id",)),)
+    done = migrate(spark, {"emp": TableSpec(staff, ("id",), own)}, str(tmp_path / "a")).first()
+    assert (done["state"], done["fk_orphan_rows"]) == ("done", 1)
+    failed = migrate(spark, {"emp": TableSpec(staff, ("id",), own, check_keys=True)}, str(tmp_path / "b")).first()
+    assert failed["state"] == "failed" and not (tmp_path / "b" / "emp").exists()
 
 
 def test_failure_is_carried_forward(spark, tmp_path):
@@ -99,8 +114,8 @@ def test_script_replays_to_an_equal_table(spark, duck, tmp_path):
 
 def test_quarantine_keeps_whole_bodies(spark, tmp_path):
     rejected = spark.createDataFrame(
-        [("o", "n", "PROCEDURE", 0, "factory", "a\n'b'\n\"c\"")],
-        "owner string, name string, type string, segment int, reason string, body string",
+        [("o", "n", "PROCEDURE", "factory", "a\n'b'\n\"c\"")],
+        "owner string, name string, type string, reason string, body string",
     )
     stored_code.write_quarantine(rejected, str(tmp_path / "q"))
     assert spark.read.json(str(tmp_path / "q")).first()["body"] == "a\n'b'\n\"c\""
@@ -146,7 +161,19 @@ def test_jdbc_partitioned_read_of_an_empty_table(spark, database):
 
 
 def test_snapshot_of_a_database_table(spark, database):
-    check_snapshot(spark, load.JdbcTarget(database))
+    target = load.JdbcTarget(database)
+    check_snapshot(spark, target)
+    with pytest.raises(RuntimeError), load.snapshot(spark, target, "brand_new"):
+        target.load(spark.range(2).toDF("k"), "brand_new")
+        raise RuntimeError
+    assert target.read(spark, "brand_new").count() == 0
+
+
+def test_a_fault_is_not_taken_for_an_absent_table(spark, database):
+    assert not load.JdbcTarget(database).exists(spark, "never_made")
+    broken = load.JdbcTarget(replace(database, driver="no.such.Driver"))
+    with pytest.raises(Exception, match="no.such.Driver"):
+        broken.exists(spark, "t")
 
 
 def test_database_to_database_from_catalog_rows(spark, database):

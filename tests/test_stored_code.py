@@ -51,7 +51,7 @@ def views(spark):
 
 
 def one_rule(spark, text, rules, late=None):
-    df = spark.createDataFrame([("o", "n", "PROCEDURE", 0, text)], "owner string, name string, type string, segment int, body string")
+    df = spark.createDataFrame([("o", "n", "PROCEDURE", text)], "owner string, name string, type string, body string")
     return code.apply_rules(df, rules, late).first()["body"]
 
 
@@ -98,7 +98,7 @@ def test_triage(bodies, views):
     found = {r["name"]: r["reason"] for r in code.triage(bodies, views, SCHEMA).collect()}
     assert found == {
         "PAY": None, "TOTAL": None, "T_EMP": None, "T_CALL": None, "T_LOST": None, "NESTED": "factory", "LOB": "unsupported",
-        "DEEP": "unsupported", "REVIEW": "review", "META": "untranslatable", "QUOTED": None,
+        "DEEP": "review", "REVIEW": "review", "META": "untranslatable", "QUOTED": None,
     }
 
 
@@ -127,17 +127,39 @@ def test_whole_translation(spark, bodies, views):
     assert out["v_emp"]["script"] == "CREATE OR REPLACE VIEW app.v_emp AS SELECT A.B, '\"q\"' FROM app.EMP"
     existing = spark.createDataFrame([("T_EMP", "trigger")], "name string, type string")
     dropped = {r["target_name"]: r["script"] for r in code.with_drop(code.rewrite_all(bodies, views, SCHEMA), existing, SCHEMA).collect()}
-    assert dropped["t_emp"].startswith("DROP TRIGGER app.t_emp CASCADE;\nCREATE")
+    assert dropped["t_emp"].startswith("DROP TRIGGER IF EXISTS t_emp ON app.emp;\nCREATE")
     assert dropped["pay"].startswith("CREATE")
 
 
-def test_long_objects_stay_whole_in_segments(spark, views):
-    rows = lines_of("BIG", "PROCEDURE", *[f"line {i}" for i in range(10)]) + lines_of("SMALL", "PROCEDURE", "a", "b")
-    parts = code.assemble(spark.createDataFrame(rows, LINES), lines_per_segment=4)
-    big = [r["body"] for r in sorted(parts.where("name = 'BIG'").collect(), key=lambda r: r["segment"])]
-    assert len(big) == 3 and "\n".join(big) == "\n".join(f"line {i}" for i in range(10))
-    rejected = code.quarantined(parts, views, SCHEMA).collect()
-    assert {(r["name"], r["reason"]) for r in rejected} == {("BIG", "oversize")} and len(rejected) == 3
+def test_long_objects_are_translated_like_short_ones(spark, views):
+    def body(n):
+        return ["PROCEDURE big IS", "a NUMBER;", "BEGIN", *["x := 1;"] * n, "/* a", "NUMBER */", "y := 'NUMBER';", "END;"]
+
+    rows = lines_of("BIG", "PROCEDURE", *body(60_000)) + lines_of("SMALL", "PROCEDURE", *body(1))
+    bodies = code.assemble(spark.createDataFrame(rows, LINES))
+    big, small = (r["body"] for r in code.apply_rules(bodies, [R.types]).orderBy("name").collect())
+    assert big.replace("x := 1;\n" * 60_000, "x := 1;\n") == small
+    assert "/* a\nNUMBER */" in big and "a numeric;" in big
+    assert {r["status"] for r in code.triage(bodies, views, SCHEMA).collect()} == {"ok"}
+
+
+def test_calls_of_missing_routines_are_set_aside(spark, views):
+    rows = lines_of("PAY", "PROCEDURE", "PROCEDURE pay IS", "BEGIN", "x := 1;", "END;")
+    rows += lines_of("BAD", "PROCEDURE", "PROCEDURE bad IS", "BEGIN", "DBMS_LOB.WRITE(x);", "END;")
+    for name, callee in (("T1", "pay"), ("T2", "bad"), ("T3", "gone")):
+        rows += lines_of(name, "TRIGGER", f"TRIGGER {name} BEFORE INSERT ON emp FOR EACH ROW", f"CALL {callee}(1)")
+    accepted = code.ready(code.assemble(spark.createDataFrame(rows, LINES)), views, SCHEMA)
+    aside = code.without_routine(accepted).collect()
+    assert {(r["name"], r["reason"]) for r in aside} == {("T2", "missing routine"), ("T3", "missing routine")}
+    balance = code.trigger_balance(accepted, SCHEMA).collect()
+    assert [(r["accepted"], r["emitted"], r["quarantined"]) for r in balance] == [(3, 1, 2)]
+
+
+def test_nested_calls_are_for_review(spark, views):
+    rows = lines_of("A", "PROCEDURE", "PROCEDURE a IS", "BEGIN", "dbms_output.put_line('n ' || to_char(x));", "END;")
+    rows += lines_of("B", "PROCEDURE", "PROCEDURE b IS", "BEGIN", "dbms_output.put_line(f(x)); DBMS_LOB.WRITE(x);", "END;")
+    reasons = {r["name"]: r["reason"] for r in code.triage(code.assemble(spark.createDataFrame(rows, LINES)), views, SCHEMA).collect()}
+    assert reasons == {"A": "review", "B": "unsupported"}
 
 
 def test_tokens_detach_the_parenthesis(spark):
