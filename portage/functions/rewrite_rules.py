@@ -78,10 +78,10 @@ def types(code: Column) -> Column:
 
 
 def pct_type(schema: str) -> Rule:
-    """``t.c%TYPE`` gets the target schema in front."""
+    """``t.c%TYPE`` gets the target schema in front; a variable's type and one with a schema stay as they are."""
     if schema == "public":
         return lambda code: code
-    return lambda code: _sub(code, r"(?i)([\w$#.]+%TYPE)\b", f"{schema}.$1")
+    return lambda code: _sub(code, r"(?i)(^|[^\w$#.])([\w$#]+\.[\w$#]+%TYPE)\b", f"$1{schema}.$2")
 
 
 def qualify(schema: str, keywords: str = "FROM|JOIN") -> Rule:
@@ -164,18 +164,20 @@ def for_paren(code: Column) -> Column:
     return _sub(code, rf"(?i)\bFOR\s+({_NAME})\s+IN\s*\(([^()]*)\)\s*LOOP\b", "FOR $1 IN $2 LOOP")
 
 
-def loop_variable(code: Column) -> Column:
-    """Variable of the first FOR loop behind BEGIN, or an empty string."""
-    return F.regexp_extract(code, rf"(?is)\bBEGIN\b.*?\bFOR\s+({_NAME})\s+IN\b", 1)
+def _found(code: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(1)), F.lower)
+
+
+def loop_variables(code: Column) -> Column:
+    """The variables of all FOR loops behind BEGIN that are no cursors, in lower case and sorted."""
+    block = F.regexp_extract(code, r"(?is)\bBEGIN\b.*$", 0)
+    loops, cursors = _found(block, rf"(?i)\bFOR\s+({_NAME})\s+IN\b"), _found(code, rf"(?i)\b({_NAME})\s+CURSOR\s+FOR\b")
+    return F.array_sort(F.array_except(loops, cursors))
 
 
 def loop_record(code: Column) -> Column:
-    """Declaration ``x record;`` of the loop variable, empty when there is no loop or x is the cursor."""
-    variable = loop_variable(code)
-    cursor = F.regexp_extract(code, rf"(?i)\b({_NAME})\s+CURSOR\s+FOR\b", 1)
-    return F.when((variable == "") | (F.lower(variable) == F.lower(cursor)), "").otherwise(
-        F.concat(variable, F.lit(" record;"))
-    )
+    """Declarations ``x record;`` of the loop variables, one on each line; empty when there are none."""
+    return F.array_join(F.transform(loop_variables(code), lambda name: F.concat(name, F.lit(" record;"))), "\n")
 
 
 def _replace_calls(code: Column, pattern: str, convert: Callable[[Column], Column]) -> Column:

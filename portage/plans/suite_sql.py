@@ -19,7 +19,9 @@ UNION ALL SELECT 'DOCS', 'doc_' || doc_id, 'PROCEDURE', CAST(len(string_split(te
 FROM documents"""
 
 _CTES = {name: text.format(**{t: t for t in _INPUTS}) for name, text in SHAPES.items()}
-_CTES["source_lines"] = f"SELECT owner, name, type, line, text FROM ({_CTES['order_source']}) o UNION ALL {_DOC_LINES}"
+_CTES["source_lines"] = f"""
+SELECT owner, name, type, line, text FROM ({_CTES['order_source']}) o UNION ALL {_DOC_LINES}
+UNION ALL SELECT owner, name, type, line, text FROM ({_CTES['turn_source']}) t"""
 _CTES["bodies"] = """
 SELECT owner, name, type, string_agg(text, chr(10) ORDER BY line, text) AS body
 FROM source_lines GROUP BY ALL"""
@@ -108,7 +110,7 @@ _N = r"[\w$#]+"
 _HEAD = r"(?is)^\s*(?:PROCEDURE|FUNCTION)\b.*?\b(?:IS|AS)\b"
 
 TYPES = [(r"(?i)\bnumber\b", "numeric"), (r"(?i)\bvarchar2\b", "varchar")]
-PCT_TYPE = [(r"(?i)([\w$#.]+%TYPE)\b", rf"{S}.\1")]
+PCT_TYPE = [(r"(?i)(^|[^\w$#.])([\w$#]+\.[\w$#]+%TYPE)\b", rf"\1{S}.\2")]
 NEXTVAL = [(rf"(?i)\b((?:{_N}\.)?{_N})\.nextval\b", r"nextval('\1')")]
 TRIGGER_ROWS = [(r"(?i):new\b", "NEW"), (r"(?i):old\b", "OLD")]
 CURSORS = [(rf"(?i)\bCURSOR\s+({_N})\s+IS\b", r"\1 CURSOR FOR")]
@@ -214,11 +216,11 @@ def _strip(text: str) -> str:
     return _re(text, (r"^\s+|\s+$", ""))
 
 
-_LOOP_VARIABLE = rf"regexp_extract(code, '(?is)\bBEGIN\b.*?\bFOR\s+({_N})\s+IN\b', 1)"
-_CURSOR_NAME = rf"regexp_extract(code, '(?i)\b({_N})\s+CURSOR\s+FOR\b', 1)"
+_LOOPS = rf"regexp_extract_all(lower(regexp_extract(code, '(?is)\bBEGIN\b.*$', 0)), '\bfor\s+({_N})\s+in\b', 1)"
+_CURSOR_NAMES = rf"regexp_extract_all(lower(code), '\b({_N})\s+cursor\s+for\b', 1)"
 _LOOP_RECORD = (
-    f"CASE WHEN {_LOOP_VARIABLE} = '' OR lower({_LOOP_VARIABLE}) = lower({_CURSOR_NAME}) THEN '' "
-    f"ELSE {_LOOP_VARIABLE} || ' record;' END"
+    f"coalesce(array_to_string(list_transform(list_sort(list_distinct(list_filter({_LOOPS}, "
+    f"lambda x: NOT list_contains({_CURSOR_NAMES}, x)))), lambda x: x || ' record;'), chr(10)), '')"
 )
 _NL = "chr(10)"
 _HANDLER = (
@@ -536,8 +538,7 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
           UNION SELECT 'other.dept' FROM region),
         texts AS (SELECT name, body FROM bodies)
         SELECT DISTINCT n.full_name, t.name FROM named n JOIN texts t ON position(n.full_name IN t.body) > 0""", "bodies"),
-    "src_assemble": _with("""SELECT * FROM bodies UNION ALL SELECT 'CHAT', 'conv_' || conv_id, 'PROCEDURE',
-        string_agg(text, chr(10) ORDER BY turn, text) FROM conversations GROUP BY conv_id""", "bodies"),
+    "src_assemble": _with("SELECT * FROM bodies", "bodies"),
     "src_tokens": r"""WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
           '^(\S+\s+[^\s(]+)\(', '\1 ('), '\s+') AS tokens FROM documents)
         SELECT doc_id, CAST(unnest(range(0, len(tokens))) AS INT) AS pos, unnest(tokens) AS token FROM d""",

@@ -244,7 +244,7 @@ def document_source(spark: SparkSession, folder: str) -> DataFrame:
 def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     """All stored code lines: ``owner, name, type, line, text``."""
     documents = _written_once(spark, folder, "document_source", lambda: document_source(spark, folder))
-    return shape(spark, folder, "order_source").unionByName(documents)
+    return shape(spark, folder, "order_source").unionByName(documents).unionByName(shape(spark, folder, "turn_source"))
 
 
 def bodies(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from portage.functions import rewrite_rules as R
 from portage.operators import stored_code as code
@@ -61,6 +62,7 @@ def one_rule(spark, text, rules, late=None):
         ("a NUMBER; b Varchar2(9); c := 'NUMBER'; -- NUMBER", [R.types], "a numeric; b varchar(9); c := 'NUMBER'; -- NUMBER"),
         ("v emp.sal%TYPE;", [R.pct_type(SCHEMA)], "v app.emp.sal%TYPE;"),
         ("v emp.sal%TYPE;", [R.pct_type("public")], "v emp.sal%TYPE;"),
+        ("a hr.t.c%TYPE; b v%TYPE; c t.c%TYPE", [R.pct_type(SCHEMA)], "a hr.t.c%TYPE; b v%TYPE; c app.t.c%TYPE"),
         (
             "SELECT EXTRACT(YEAR FROM d) FROM emp JOIN x.dept ON 1 = 1 WHERE 1 IN (SELECT 1 FROM dual)", [R.qualify(SCHEMA)],
             "SELECT EXTRACT(YEAR FROM d) FROM app.emp JOIN x.dept ON 1 = 1 WHERE 1 IN (SELECT 1 FROM dual)",
@@ -155,6 +157,12 @@ def test_calls_of_missing_routines_are_set_aside(spark, views):
     assert [(r["accepted"], r["emitted"], r["quarantined"]) for r in balance] == [(3, 1, 2)]
 
 
+def test_every_loop_variable_is_declared(spark):
+    text = "c CURSOR FOR q; FOR z IN 1 BEGIN FOR r IN (a) LOOP FOR S IN b LOOP FOR c IN d LOOP FOR s IN e LOOP END"
+    df = spark.createDataFrame([(text,), ("BEGIN x END",)], "code string")
+    assert [r[0] for r in df.select(R.loop_record(F.col("code"))).collect()] == ["r record;\ns record;", ""]
+
+
 def test_nested_calls_are_for_review(spark, views):
     rows = lines_of("A", "PROCEDURE", "PROCEDURE a IS", "BEGIN", "dbms_output.put_line('n ' || to_char(x));", "END;")
     rows += lines_of("B", "PROCEDURE", "PROCEDURE b IS", "BEGIN", "dbms_output.put_line(f(x)); DBMS_LOB.WRITE(x);", "END;")
