@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from portage.functions import rewrite_rules as R
 from portage.operators import stored_code as code
-from portage.operators.textdep import contains_join
+from portage.operators.textdep import _candidates, contains_join
 
 SCHEMA = "app"
 LINES = "owner string, name string, type string, line int, text string"
@@ -192,6 +192,14 @@ def test_containment_against_brute_force(spark):
     assert found == {(i, j) for i, name in enumerate(names) for j, text in enumerate(texts) if name in text}
 
 
+@pytest.mark.parametrize("name", ["k{} the z{}", "t{}.id", "k{} the of z{}", "k{} the "])
+def test_common_words_do_not_make_all_pairs(spark, name):
+    texts = spark.createDataFrame([(i, f"a k{i} the z{i} and of the id t{i}.id k{i} the of z{i}") for i in range(500)], "tid int, body string")
+    names = spark.createDataFrame([(i, name.format(1000 + i, 1000 + i)) for i in range(500)], "nid int, needle string")
+    _, _, pairs = _candidates(texts, names, "tid", "body", "nid", "needle")
+    assert pairs.count() < 10 * 500
+
+
 def test_containment_has_no_nested_loop(spark):
     t = spark.createDataFrame([(1, "a b c d e f")], "tid int, body string")
     n = spark.createDataFrame([(1, "b c d e f"), (2, "c")], "nid int, needle string")
