@@ -34,7 +34,7 @@ def key_list(columns: Column) -> Column:
 
 
 def sql_literal(column: Column, data_type: T.DataType) -> Column:
-    """The value as an SQL literal: quotes doubled, NULL bare, binary as hex, timestamps typed."""
+    """The value as an SQL literal: quotes doubled, NULL bare, binary as hex, timestamps and arrays typed."""
     text = column.cast("string")
     if isinstance(data_type, T.StringType):
         rendered = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
@@ -52,6 +52,9 @@ def sql_literal(column: Column, data_type: T.DataType) -> Column:
         rendered = F.concat(F.lit("DATE '"), text, F.lit("'"))
     elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         rendered = F.concat(F.lit("TIMESTAMP '"), text, F.lit("'"))
+    elif isinstance(data_type, T.ArrayType):
+        inner = F.array_join(F.transform(column, lambda x: sql_literal(x, data_type.elementType)), ", ")
+        rendered = F.concat(F.lit("CAST(ARRAY["), inner, F.lit(f"] AS {sql_type(data_type)})"))
     else:
         raise ValueError(f"no SQL literal for {data_type.simpleString()}")
     return F.coalesce(rendered, F.lit("NULL"))
@@ -67,6 +70,8 @@ def sql_type(data_type: T.DataType) -> str:
     }
     if isinstance(data_type, T.DecimalType):
         return f"NUMERIC({data_type.precision},{data_type.scale})"
+    if isinstance(data_type, T.ArrayType):
+        return f"{sql_type(data_type.elementType)}[]"
     for kind, name in plain.items():
         if isinstance(data_type, kind):
             return name

@@ -98,7 +98,9 @@ def run_log(spark, sf):
 
 @query
 def script_inserts(spark, sf):
-    return script.inserts(extract(_t(spark, sf, "orders")), f"{TARGET_SCHEMA}.orders")
+    # Whole numbers, decimals, dates, quotes, line breaks and nulls; the tests replay arrays and the other types.
+    names = ("orders", "documents", "benchmark", "labels", "conversations")
+    return reduce(DataFrame.unionByName, [script.inserts(extract(_t(spark, sf, n)), f"{TARGET_SCHEMA}.{n}") for n in names])
 
 
 @query

@@ -343,6 +343,18 @@ SELECT table_name, CAST(level AS INT) AS level, 'done' AS state, CAST(NULL AS VA
   CAST(n AS BIGINT) AS rows_in, CAST(n AS BIGINT) AS rows_out, CAST(dups AS BIGINT) AS pk_violations,
   CAST(orphans AS BIGINT) AS fk_orphan_rows, CAST(next_value AS BIGINT) AS next_value FROM r"""
 
+
+
+def _inserts(table: str, numbers: tuple[str, ...], columns: tuple[str, ...]) -> str:
+    """SQL for the INSERT statements of a table of numbers and texts."""
+    values = " || ', ' || ".join(
+        f"coalesce({'CAST(' + c + ' AS VARCHAR)' if c in numbers else f"chr(39) || replace({c}, chr(39), chr(39) || chr(39)) || chr(39)"}, 'NULL')"
+        for c in columns
+    )
+    names = ", ".join(columns)
+    return f"UNION ALL SELECT 2, '{S}.{table}', 'INSERT INTO {S}.{table} ({names}) VALUES (' || {values} || ');' FROM {table} "
+
+
 ORACLE_SQL = {
     "scan_full": "SELECT * FROM lineitem",
     "scan_query": """SELECT o.o_orderkey, o.o_totalprice, c.c_name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
@@ -354,7 +366,12 @@ ORACLE_SQL = {
     "script_inserts": f"""SELECT CAST(2 AS INT) AS section, '{S}.orders' AS seq,
         'INSERT INTO {S}.orders (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) VALUES ('
         || o_orderkey || ', ' || o_custkey || ', ''' || o_orderstatus || ''', ' || o_totalprice || ', TIMESTAMP '''
-        || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ''', ''' || o_orderpriority || ''');' AS value FROM orders""",
+        || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ''', ''' || o_orderpriority || ''');' AS value FROM orders
+        """ + "".join(_inserts(*table) for table in (
+        ("documents", ("doc_id", "n_chars"), ("doc_id", "text", "lang", "source", "n_chars")),
+        ("benchmark", ("item_id",), ("item_id", "text")), ("labels", ("doc_id", "quality", "toxic"), ("doc_id", "quality", "toxic")),
+        ("conversations", ("conv_id", "turn"), ("conv_id", "turn", "role", "text")),
+    )),
     "script_ddl": _with(f"""+starts AS (SELECT a.*, s.last_number + 1 AS start_with FROM auto a
   LEFT JOIN cat_sequences s ON s.sequence_owner = a.owner AND s.sequence_name = a.sequence_name)
 SELECT CAST(1 AS INT) AS section, '{S}.' || lower(table_name) AS seq, 'CREATE TABLE {S}.' || lower(table_name) || ' (' ||

@@ -89,6 +89,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def path_state(spark: SparkSession, pattern: str) -> tuple:
+    """Names, sizes and times of the files that match a pattern: differs when one of them was replaced."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path) or ()
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

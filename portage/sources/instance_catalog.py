@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portage.operators.stored_code import assemble
-from portage.session import new_work_dir, path_exists, stage
+from portage.session import new_work_dir, path_exists, path_state, stage
 from portage.sources.tables import parquet_table, spread
 
 _OWNER = "'SALES_' || o.o_orderstatus"
@@ -193,13 +193,16 @@ SELECT 'CHAT' AS owner, 'conv_' || conv_id AS name, 'PROCEDURE' AS type, CAST(tu
 _INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "conversations"]
 
 
-# Catalog tables of this session and where they are stored, by folder and name.
-_WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+# Catalog tables of this session and where they are stored, by folder, name and state of the folder.
+_WRITTEN: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def _written_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The catalog table as a stored table, as a catalog is: written on first use, then read."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """The catalog table as a stored table, as a catalog is: written on first use, then read.
+
+    It is written anew if the files in the folder have changed.
+    """
+    key = (spark.sparkContext.applicationId, folder, name, path_state(spark, f"{folder.rstrip('/')}/*"))
     if key not in _WRITTEN or not path_exists(spark, _WRITTEN[key][1]):
         path = f"{new_work_dir(spark, 'catalog')}/{name}"
         _WRITTEN[key] = stage(make(), path), path

@@ -27,6 +27,13 @@ def test_between_takes_negatives_and_dates(amounts):
     assert ids(apply_filters(amounts, [ColumnFilter("day", "BETWEEN", "2020-01-31", "2020-02-01")])) == [1, 2]
 
 
+def test_arrays_are_typed_literals(spark, duck):
+    df = spark.createDataFrame([([1.5, None, -2.0], ["it's", "x"]), ([], None)], "v array<float>, t array<string>")
+    found = df.select(*[sql_literal(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]).collect()
+    duck.execute("SELECT " + ", ".join(f"{r.v} AS v{i}, {r.t} AS t{i}" for i, r in enumerate(found)))
+    assert duck.fetchall() == [([1.5, None, -2.0], ["it's", "x"], [], None)]
+
+
 def test_bounds_are_not_rounded_to_the_column_type(spark):
     df = spark.sql("SELECT id, CAST(id / 100 AS DECIMAL(15,2)) AS price FROM VALUES (44L), (45L), (46L) t(id)")
     assert ids(apply_filters(df, [ColumnFilter("id", "<", 45.7)])) == [44, 45]
