@@ -126,20 +126,20 @@ class Chain:
         return known
 
 
-def fit_chain(found: list[np.ndarray], truth: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
+def fit_chain(rows: Rows, truth: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
     """A chain on rows of features and their 0/1 ``truth`` by category.
 
     What a later model is trained with are the out-of-fold probabilities of the earlier ones: each row's come from
     models that have not seen the row, so that they are as good as they will be on new texts.
     """
-    rows, fold = Rows.of(found), np.arange(len(found)) % folds
-    known = np.empty((len(found), 0))
+    n = len(rows.sizes)
+    fold, known = np.arange(n) % folds, np.empty((n, 0))
     models = []
     for i in range(len(categories)):
         now = Rows(rows.at, rows.sizes, known)
         models.append(fit_linear(now, truth[:, i]))
         if i + 1 < len(categories):
-            apart = np.zeros(len(found))
+            apart = np.zeros(n)
             for f in range(folds):
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 apart[outside] = fit_linear(now.take(inside), truth[inside, i]).probability(now.take(outside))
@@ -167,19 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array(held, pa.list_(pa.int32()))], ["doc_id", *names, "features"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(held, pa.list_(pa.int32()))], ["h", *names, "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(staged(chosen, "chosen")), "doc_id").select("doc_id", "text", *names)
+    rows = texts.join(F.broadcast(staged(chosen, "chosen")), "doc_id").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"), *names)
     fields = ", ".join(f"{n} int" for n in names)
-    held = in_tasks(rows, run, f"doc_id long, {fields}, features array<int>").toArrow().to_pylist()
-    held = sorted(held, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["features"]))
-    if not held:
+    held = in_tasks(rows, run, f"h long, {fields}, features array<int>").toArrow().combine_chunks()
+    if not held.num_rows:
         return None
-    truth = np.array([[min(1, max(0, r[n])) for n in names] for r in held], dtype=np.float64)
-    return fit_chain([np.array(r["features"], np.int32) for r in held], truth, categories)
+    # Whatever order the tasks end in, the rows are the same: hashed, so that the folds are alike.
+    held = held.take(pa.array(np.argsort(held.column("h").to_numpy(), kind="stable")))
+    found = held.column("features").combine_chunks()
+    sample = Rows(found.flatten().to_numpy(), found.value_lengths().to_numpy().astype(np.int64), np.empty((held.num_rows, 0)))
+    truth = np.stack([np.clip(held.column(n).to_numpy(), 0, 1) for n in names], axis=1).astype(np.float64)
+    return fit_chain(sample, truth, categories)
 
 
 def scored(docs: DataFrame, chain: Chain | None, categories: list[str], threshold: float) -> DataFrame:

@@ -191,7 +191,7 @@ def test_later_models_see_earlier_probabilities():
     first = draw.integers(0, 2, 400)
     rows = [np.array([1, 2] if y else [3, 4], np.int32) for y in first]
     truth = np.stack([first, 1 - first], axis=1).astype(float)
-    chain = toxicity.fit_chain(rows, truth, ["a", "b"])
+    chain = toxicity.fit_chain(toxicity.Rows.of(rows), truth, ["a", "b"])
     assert len(chain.models[0].dense) == 0 and chain.models[1].dense[0] < 0
     found = chain.probabilities(toxicity.Rows.of(rows))
     assert ((found > 0.5) == (truth == 1)).all()
