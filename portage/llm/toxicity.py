@@ -18,7 +18,7 @@ from portage.llm.common import in_tasks, staged, table
 WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 #: Labelled documents the chain is fitted on at most: those with the smallest hashed ids of each outcome.
-SAMPLE = 12_000
+SAMPLE = 8_000
 
 #: Hashed features; folds for the probabilities that later models are trained with; letters of a word's beginnings.
 BUCKETS, FOLDS, BEGINNINGS = 1 << 18, 3, (3, 4)
@@ -84,7 +84,7 @@ def telling(rows: Rows, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return certain, ratio
 
 
-def fit_linear(rows: Rows, truth: np.ndarray, rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4) -> Linear:
+def fit_linear(rows: Rows, truth: np.ndarray, rounds: int = 100, rate: float = 0.15, shrink: float = 1e-4) -> Linear:
     """Logistic regression on the telling features, scaled by their likelihood ratios, by adaptive gradient descent."""
     model = Linear(np.zeros(BUCKETS), np.zeros(rows.extra.shape[1]), 0.0)
     share = truth.mean() if len(truth) else 0.0
