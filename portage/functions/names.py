@@ -50,8 +50,11 @@ def sql_literal(column: Column, data_type: T.DataType) -> Column:
         rendered = F.concat(F.lit("'\\x"), F.lower(F.hex(column)), F.lit("'"))
     elif isinstance(data_type, T.DateType):
         rendered = F.concat(F.lit("DATE '"), text, F.lit("'"))
-    elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+    elif isinstance(data_type, T.TimestampNTZType):
         rendered = F.concat(F.lit("TIMESTAMP '"), text, F.lit("'"))
+    elif isinstance(data_type, T.TimestampType):
+        # A point in time: without its offset it would be read in the zone of whoever runs the script.
+        rendered = F.concat(F.lit("TIMESTAMPTZ '"), F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSSxxx"), F.lit("'"))
     elif isinstance(data_type, T.ArrayType):
         inner = F.array_join(F.transform(column, lambda x: sql_literal(x, data_type.elementType)), ", ")
         rendered = F.concat(F.lit("CAST(ARRAY["), inner, F.lit(f"] AS {sql_type(data_type)})"))
@@ -66,7 +69,7 @@ def sql_type(data_type: T.DataType) -> str:
     plain = {
         T.ByteType: "SMALLINT", T.ShortType: "SMALLINT", T.IntegerType: "INTEGER", T.LongType: "BIGINT",
         T.FloatType: "REAL", T.DoubleType: "DOUBLE PRECISION", T.BooleanType: "BOOLEAN", T.StringType: "VARCHAR",
-        T.BinaryType: "BYTEA", T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP",
+        T.BinaryType: "BYTEA", T.DateType: "DATE", T.TimestampType: "TIMESTAMPTZ", T.TimestampNTZType: "TIMESTAMP",
     }
     if isinstance(data_type, T.DecimalType):
         return f"NUMERIC({data_type.precision},{data_type.scale})"

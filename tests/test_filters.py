@@ -27,6 +27,11 @@ def test_between_takes_negatives_and_dates(amounts):
     assert ids(apply_filters(amounts, [ColumnFilter("day", "BETWEEN", "2020-01-31", "2020-02-01")])) == [1, 2]
 
 
+def test_points_in_time_keep_their_offset(spark):
+    df = spark.sql("SELECT TIMESTAMP'2020-01-02 03:04:05.5+02:00' AS t")
+    assert df.select(sql_literal(F.col("t"), df.schema["t"].dataType)).first()[0] == "TIMESTAMPTZ '2020-01-02 01:04:05.500000+00:00'"
+
+
 def test_arrays_are_typed_literals(spark, duck):
     df = spark.createDataFrame([([1.5, None, -2.0], ["it's", "x"]), ([], None)], "v array<float>, t array<string>")
     found = df.select(*[sql_literal(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]).collect()
