@@ -157,12 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *categories).where("doc_id is not null").groupBy("doc_id").agg(*asked)
     names = [f"is_{i}" for i in range(len(categories))]
     each = max(1, sample // 2 ** len(categories))
-    # Hashes are dealt evenly: the smallest of each combination are found in many small parts first.
-    parts = Window.partitionBy("deal", *names).orderBy("h", "doc_id")
-    whole = Window.partitionBy(*names).orderBy("h", "doc_id")
-    hashed = known.withColumn("h", F.xxhash64("doc_id")).withColumn("deal", F.pmod(F.col("h"), F.lit(64)))
-    chosen = hashed.withColumn("k", F.row_number().over(parts)).where(F.col("k") <= each).withColumn(
-        "k", F.row_number().over(whole)).where(F.col("k") <= each).select("doc_id", *names)
+    # Hashes are spread evenly, so the smallest of a combination lie below a bound that follows from its number of rows:
+    # only about twice as many rows as are wanted are ranked in one place. Their number is fixed.
+    hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    sizes = hashed.groupBy(*names).agg((F.lit(2.0 * each) / F.count(F.lit(1)) * (1 << 40)).alias("bound"))
+    near = hashed.join(F.broadcast(sizes), names).where("h <= bound")
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy(*names).orderBy("h", "doc_id")))
+    chosen = ranked.where(F.col("k") <= each).select("doc_id", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
