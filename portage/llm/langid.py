@@ -30,7 +30,7 @@ BUCKETS, SEQUENCE, LEXICON_COUNT = 1 << 17, 24, 3
 MAX_FEATURES = 16
 
 #: Characters of texts decoded together: bounds the memory of a task whatever the batch holds.
-PIECE_CHARS = 6_000_000
+PIECE_CHARS = 3_000_000
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
@@ -60,12 +60,6 @@ class ChainModel:
             scores += self.weights[column]
         return np.exp(scores - scores.max(axis=1, keepdims=True)) + np.float32(1e-12)
 
-    def labeller(self) -> Labeller:
-        """The labeller of this process, which keeps the words it has met from one task to the next."""
-        if "_labeller" not in self.__dict__:
-            self._labeller = Labeller(self)
-        return self._labeller
-
 
 def feature_table(words: list[str], lexicon: frozenset[str]) -> np.ndarray:
     """Feature numbers by word, filled up with zero, whose weights stay zero."""
@@ -201,7 +195,7 @@ class _Numbers(dict):
 class Labeller:
     """A fitted chain in a worker, with the emissions of the words it has met; ``known`` bounds their number."""
 
-    def __init__(self, model: ChainModel, known: int = 300_000) -> None:
+    def __init__(self, model: ChainModel, known: int = 150_000) -> None:
         self.model, self.known = model, known
         self.numbers, self.table = _Numbers(), np.empty((0, len(model.labels)), np.float32)
 
@@ -249,6 +243,16 @@ class Labeller:
         return names, np.minimum(found[np.arange(len(texts)), best], 1.0).tolist()
 
 
+#: The labeller of this process: it keeps the words it has met from one task to the next, and gives way to the next model's.
+_LABELLER: list[Labeller] = []
+
+
+def labeller_of(model: ChainModel) -> Labeller:
+    if not _LABELLER or _LABELLER[0].model is not model:
+        _LABELLER[:] = [Labeller(model)]
+    return _LABELLER[0]
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept out of training: crc32 of its id as text, modulo 4, is 2. Null ids are not."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -289,7 +293,7 @@ def identify(docs: DataFrame, model: ChainModel | None, keep=None) -> DataFrame:
     place = docs.columns.index("text")
 
     def labelled(batches: Iterator[pa.RecordBatch], text_at: int):
-        labeller = shared.value.labeller() if shared.value else None
+        labeller = labeller_of(shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             yield batch, *(labeller.label(texts) if labeller else ([UNKNOWN] * len(texts), [0.0] * len(texts)))
