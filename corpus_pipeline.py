@@ -12,7 +12,7 @@ from portage.llm.bpe import tokenized, vocabulary
 from portage.llm.common import staged, table
 from portage.llm.decontaminate import contamination
 from portage.llm.langid import UNKNOWN, identify, train
-from portage.llm.simhash import near_duplicates
+from portage.llm.simhash import near_copies
 from portage.llm.substring import repeated_text
 
 #: A document stays if some language holds at least this share of its words.
@@ -34,9 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, null last; of several rows with
-    that id the one with the smallest text hash, once."""
-    found = staged(near_duplicates(docs).select("kid", "kh", "root"), "near-duplicates")
+    """One document of each group of near duplicates (5-word shingles, Jaccard similarity 0.8 or more): the one with the
+    smallest doc_id, null last; of several rows with that id the one with the smallest text hash, once."""
+    found = staged(near_copies(docs), "near-duplicates")
     chosen = found.groupBy("root").agg(F.min(F.struct("kid", "kh")).alias("chosen"))
     judged = found.join(chosen, "root").select("kid", "kh", (F.struct("kid", "kh") == F.col("chosen")).alias("stays"))
     lost = staged(judged.where("not stays").select("kid", "kh").distinct(), "lost")
