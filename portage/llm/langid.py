@@ -121,53 +121,62 @@ def pair_expectations(emissions: np.ndarray, moves: np.ndarray, start: np.ndarra
 def fit(samples: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5, per_language: int = 2_000) -> ChainModel | None:
     """A chain fitted on labelled texts by adaptive gradient ascent on the conditional likelihood.
 
-    Texts become sequences of ``SEQUENCE`` words, evenly spread over each text. Every second sequence is made of two
-    halves in different languages, so that the learned moves allow for switches within a text.
+    Texts become sequences of ``SEQUENCE`` words; a short text and the end of a text are shorter ones. Every second
+    sequence is made of two halves in different languages, so that the learned moves allow for switches within a text.
+    Languages whose texts have no word are not learned.
     """
-    labels = sorted({label for label, _ in samples})
-    number = {label: i for i, label in enumerate(labels)}
     counts: Counter[str] = Counter()
-    pieces: list[list[list[str]]] = [[] for _ in labels]
+    by_label: dict[str, list[list[str]]] = {}
     for label, text in samples:
-        words = WORD.findall(text.lower())
-        counts.update(set(words))
-        pieces[number[label]] += [words[i : i + SEQUENCE] for i in range(0, len(words) - SEQUENCE + 1, SEQUENCE)]
-    if not any(pieces):
+        if words := WORD.findall(text.lower()):
+            counts.update(set(words))
+            by_label.setdefault(label, []).extend(words[i : i + SEQUENCE] for i in range(0, len(words), SEQUENCE))
+    if not by_label:
         return None
+    labels = sorted(by_label)
+    pieces = [by_label[label] for label in labels]
     lexicon = frozenset(w for w, n in counts.items() if n >= LEXICON_COUNT)
     draw = np.random.default_rng(7)
     chosen: list[tuple[list[str], list[int]]] = []
-    present = [i for i, p in enumerate(pieces) if p]
-    for i in present:
+    for i in range(len(labels)):
         for j in draw.permutation(len(pieces[i]))[:per_language].tolist():
-            words, other = pieces[i][j], int(draw.choice(present))
+            words, other = pieces[i][j], int(draw.integers(len(labels)))
             if len(chosen) % 2 and other != i:
-                half = SEQUENCE // 2
                 partner = pieces[other][int(draw.integers(len(pieces[other])))]
-                chosen.append((words[:half] + partner[half:], [i] * half + [other] * (SEQUENCE - half)))
+                one, two = words[: (len(words) + 1) // 2], partner[len(partner) // 2 :]
+                chosen.append((one + two, [i] * len(one) + [other] * len(two)))
             else:
-                chosen.append((words, [i] * SEQUENCE))
+                chosen.append((words, [i] * len(words)))
     vocabulary: dict[str, int] = {}
-    at = np.array([[vocabulary.setdefault(w, len(vocabulary)) for w in words] for words, _ in chosen])
-    truth = np.eye(len(labels), dtype=np.float32)[np.array([y for _, y in chosen])]
+    by_length: dict[int, list[tuple[list[int], list[int]]]] = {}
+    for words, known in chosen:
+        by_length.setdefault(len(words), []).append(([vocabulary.setdefault(w, len(vocabulary)) for w in words], known))
+    groups = [
+        (np.array([at for at, _ in group]), np.eye(len(labels), dtype=np.float32)[np.array([known for _, known in group])])
+        for _, group in sorted(by_length.items())
+    ]
     ids = feature_table(list(vocabulary), lexicon)
     model = ChainModel(
         labels, lexicon, np.zeros((BUCKETS, len(labels)), np.float32), np.zeros((len(labels),) * 2, np.float32), np.zeros(len(labels), np.float32)
     )
-    seen_pairs = np.einsum("sti,stj->ij", truth[:, :-1], truth[:, 1:])
+    seen_pairs = sum(np.einsum("sti,stj->ij", truth[:, :-1], truth[:, 1:]) for _, truth in groups)
+    places = np.concatenate([at.ravel() for at, _ in groups])
     sums = [np.full_like(x, 1e-8) for x in (model.weights, model.moves, model.start)]
     for _ in range(rounds):
         scores = np.zeros((len(ids), len(labels)), np.float32)
         for column in ids.T:
             scores += model.weights[column]
-        posterior, pairs = pair_expectations(np.exp(scores - scores.max(axis=1, keepdims=True))[at] + np.float32(1e-12), model.moves, model.start)
-        error = truth - posterior
-        by_word = np.stack([np.bincount(at.ravel(), error[:, :, i].ravel(), len(ids)) for i in range(len(labels))], axis=1)
+        emissions = np.exp(scores - scores.max(axis=1, keepdims=True)) + np.float32(1e-12)
+        found = [pair_expectations(emissions[at], model.moves, model.start) for at, _ in groups]
+        pairs = sum(p for _, p in found)
+        errors = [truth - posterior for (_, truth), (posterior, _) in zip(groups, found)]
+        error = np.concatenate([e.reshape(-1, len(labels)) for e in errors])
+        by_word = np.stack([np.bincount(places, error[:, i], len(ids)) for i in range(len(labels))], axis=1)
         grown = np.stack([
             np.bincount(ids.ravel(), np.repeat(by_word[:, i], MAX_FEATURES), BUCKETS) for i in range(len(labels))
         ], axis=1)
-        n = error.shape[0]
-        steps = [grown / n - 1e-6 * model.weights, (seen_pairs - pairs) / n, error[:, 0].sum(axis=0) / n]
+        n = len(chosen)
+        steps = [grown / n - 1e-6 * model.weights, (seen_pairs - pairs) / n, sum(e[:, 0].sum(axis=0) for e in errors) / n]
         steps[0][0] = 0
         for i, (value, step) in enumerate(zip((model.weights, model.moves, model.start), steps)):
             sums[i] += step * step

@@ -356,6 +356,35 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+def cut_texts(spark, languages, size):
+    """Texts of ``size`` words and their languages, cut from the documents in these."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = []
+    for r in docs:
+        words = langid.WORD.findall(r.text)[:400] if r.lang in languages else []
+        out += [(r.lang, " ".join(words[i : i + size])) for i in range(0, len(words), size)]
+    return out
+
+
+def test_language_is_learned_from_short_texts_only(spark):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(cut_texts(spark, ("de", "en", "es", "fr"), 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chain = langid.train(docs)
+    assert chain is not None
+    known = {i: lang for i, _, lang in rows}
+    found = [r for r in langid.identify(docs, chain).collect() if r.held_out]
+    assert len(set(known.values())) > 1 and "und" not in {r.lang_pred for r in found}
+    assert sum(r.lang_pred == known[r.doc_id] for r in found) / len(found) >= 0.9
+
+
+def test_a_language_of_short_texts_stands_beside_long_ones(spark):
+    short, long = cut_texts(spark, ("de",), 8), cut_texts(spark, ("en",), 200)
+    chain = langid.fit(short[::2][:300] + long[::2][:300] + [("xx", "123 456")])
+    assert chain.labels == ["de", "en"]
+    names, _ = langid.Labeller(chain).label([text for _, text in short[1::2]])
+    assert names.count("de") / len(names) >= 0.9
+
+
 def test_language_of_odd_rows(spark, chain):
     found = {(r.doc_id, r.held_out): (r.lang_pred, r.score) for r in langid.identify(odd(spark), chain).collect()}
     by_id = {i: v for (i, _), v in found.items()}
