@@ -72,26 +72,35 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(sums + rows.extra @ self.dense + self.bias, -40, 40)))
 
 
-def telling(rows: Rows, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features whose counts tell a category from the rest, and the logarithm of their likelihood ratio."""
-    inside = truth[rows.owner()] == 1
-    hits, others = (np.bincount(rows.at[side], minlength=BUCKETS) for side in (inside, ~inside))
-    n_in, n_out = truth.sum(), len(truth) - truth.sum()
-    share = (hits + others) / len(truth)
-    spread = np.sqrt(len(truth) * share * (1 - share) * (n_in / len(truth)) * (n_out / len(truth)))
+def telling(rows: Rows, truth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features whose weighted counts tell a category from the rest, and the logarithm of their likelihood ratio."""
+    owner = rows.owner()
+    inside = truth[owner] == 1
+    hits, others = (np.bincount(rows.at[side], weight[owner[side]], BUCKETS) for side in (inside, ~inside))
+    n, n_in = weight.sum(), weight @ truth
+    share = np.clip((hits + others) / n, 0, 1)
+    spread = np.sqrt(share * (1 - share) * np.square(weight * (truth - n_in / n)).sum())
     certain = np.flatnonzero(np.abs(hits - share * n_in) > CERTAIN * np.maximum(spread, LEAST_SPREAD))
-    ratio = np.log((hits[certain] + 0.5) / (n_in + 1)) - np.log((others[certain] + 0.5) / (n_out + 1))
-    return certain, ratio
+    # Per row of the sample on either side, so that the half a hit added means as much as it does without weights.
+    k_in, k_out = truth.sum(), len(truth) - truth.sum()
+    hit, other = hits[certain] * (k_in / n_in), others[certain] * (k_out / (n - n_in))
+    return certain, np.log((hit + 0.5) / (k_in + 1)) - np.log((other + 0.5) / (k_out + 1))
 
 
-def fit_linear(rows: Rows, truth: np.ndarray, rounds: int = 100, rate: float = 0.15, shrink: float = 1e-4) -> Linear:
-    """Logistic regression on the telling features, scaled by their likelihood ratios, by adaptive gradient descent."""
+def fit_linear(
+    rows: Rows, truth: np.ndarray, rounds: int = 100, rate: float = 0.15, shrink: float = 1e-4, weight: np.ndarray | None = None
+) -> Linear:
+    """Logistic regression on the telling features, scaled by their likelihood ratios, by adaptive gradient descent.
+
+    A row of weight 2 counts as two rows; without ``weight`` all count alike.
+    """
     model = Linear(np.zeros(BUCKETS), np.zeros(rows.extra.shape[1]), 0.0)
-    share = truth.mean() if len(truth) else 0.0
+    weight = np.ones(len(truth)) if weight is None else weight / weight.mean() if len(weight) else weight
+    share = float(np.average(truth, weights=weight)) if truth.any() and not truth.all() else float(truth.any())
     if share in (0.0, 1.0):
         model.bias = 12.0 if share else -12.0
         return model
-    used, scale = telling(rows, truth)
+    used, scale = telling(rows, truth, weight)
     number = np.full(BUCKETS, -1)
     number[used] = np.arange(len(used))
     held = number[rows.at] >= 0
@@ -100,7 +109,7 @@ def fit_linear(rows: Rows, truth: np.ndarray, rounds: int = 100, rate: float = 0
     sums, seen = np.full(len(used), 1e-8), np.full(len(dense) + 1, 1e-8)
     for _ in range(rounds):
         score = np.bincount(owner, (weights * scale)[at], len(truth)) + rows.extra @ dense + bias
-        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - truth) / len(truth)
+        error = weight * (1 / (1 + np.exp(-np.clip(score, -40, 40))) - truth) / len(truth)
         step = np.bincount(at, error[owner], len(used)) * scale + shrink * weights
         sums += step * step
         weights = weights - rate * step / np.sqrt(sums)
@@ -126,23 +135,26 @@ class Chain:
         return known
 
 
-def fit_chain(rows: Rows, truth: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
-    """A chain on rows of features and their 0/1 ``truth`` by category.
+def fit_chain(
+    rows: Rows, truth: np.ndarray, categories: list[str], folds: int = FOLDS, weight: np.ndarray | None = None
+) -> Chain:
+    """A chain on rows of features, their 0/1 ``truth`` by category and, if they count unequally, their ``weight``.
 
     What a later model is trained with are the out-of-fold probabilities of the earlier ones: each row's come from
     models that have not seen the row, so that they are as good as they will be on new texts.
     """
     n = len(rows.sizes)
     fold, known = np.arange(n) % folds, np.empty((n, 0))
+    weight = np.ones(n) if weight is None else weight
     models = []
     for i in range(len(categories)):
         now = Rows(rows.at, rows.sizes, known)
-        models.append(fit_linear(now, truth[:, i]))
+        models.append(fit_linear(now, truth[:, i], weight=weight))
         if i + 1 < len(categories):
             apart = np.zeros(n)
             for f in range(folds):
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                apart[outside] = fit_linear(now.take(inside), truth[inside, i]).probability(now.take(outside))
+                apart[outside] = fit_linear(now.take(inside), truth[inside, i], weight=weight[inside]).probability(now.take(outside))
             known = np.column_stack([known, apart])
     return Chain(categories, models)
 
@@ -150,8 +162,9 @@ def fit_chain(rows: Rows, truth: np.ndarray, categories: list[str], folds: int =
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> Chain | None:
     """The chain learned from labelled documents; None if there are none.
 
-    Of each combination of labels the rows with the smallest hashed ids are taken, ``sample`` in all at most. Labels
-    that are null are 0; where rows of ``labels`` contradict each other for a document the larger label counts.
+    Of each combination of labels the rows with the smallest hashed ids are taken, ``sample`` in all at most. A row
+    weighs as much as the labelled rows it stands for, so that probabilities follow the labels' own shares whatever the
+    size of the table. Labels that are null are 0; where rows of ``labels`` contradict each other for a document the larger label counts.
     """
     asked = [F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"is_{i}") for i, c in enumerate(categories)]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *categories).where("doc_id is not null").groupBy("doc_id").agg(*asked)
@@ -160,20 +173,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     # Hashes are spread evenly, so the smallest of a combination lie below a bound that follows from its number of rows:
     # only about twice as many rows as are wanted are ranked in one place. Their number is fixed.
     hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    sizes = hashed.groupBy(*names).agg((F.lit(2.0 * each) / F.count(F.lit(1)) * (1 << 40)).alias("bound"))
+    sizes = hashed.groupBy(*names).agg(
+        (F.lit(2.0 * each) / F.count(F.lit(1)) * (1 << 40)).alias("bound"),
+        F.greatest(F.count(F.lit(1)) / F.lit(each), F.lit(1.0)).alias("weight"),
+    )
     near = hashed.join(F.broadcast(sizes), names).where("h <= bound")
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy(*names).orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("k") <= each).select("doc_id", *names)
+    chosen = ranked.where(F.col("k") <= each).select("doc_id", "weight", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(held, pa.list_(pa.int32()))], ["h", *names, "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(held, pa.list_(pa.int32()))], ["h", "weight", *names, "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(staged(chosen, "chosen")), "doc_id").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"), *names)
+    rows = texts.join(F.broadcast(staged(chosen, "chosen")), "doc_id").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"), "weight", *names)
     fields = ", ".join(f"{n} int" for n in names)
-    held = in_tasks(rows, run, f"h long, {fields}, features array<int>").toArrow().combine_chunks()
+    held = in_tasks(rows, run, f"h long, weight double, {fields}, features array<int>").toArrow().combine_chunks()
     if not held.num_rows:
         return None
     # Whatever order the tasks end in, the rows are the same: hashed, so that the folds are alike.
@@ -181,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     found = held.column("features").combine_chunks()
     sample = Rows(found.flatten().to_numpy(), found.value_lengths().to_numpy().astype(np.int64), np.empty((held.num_rows, 0)))
     truth = np.stack([np.clip(held.column(n).to_numpy(), 0, 1) for n in names], axis=1).astype(np.float64)
-    return fit_chain(sample, truth, categories)
+    return fit_chain(sample, truth, categories, weight=held.column("weight").to_numpy())
 
 
 def scored(docs: DataFrame, chain: Chain | None, categories: list[str], threshold: float) -> DataFrame:

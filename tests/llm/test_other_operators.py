@@ -197,6 +197,26 @@ def test_later_models_see_earlier_probabilities():
     assert ((found > 0.5) == (truth == 1)).all()
 
 
+def test_toxicity_does_not_depend_on_the_size_of_the_labelled_table(spark):
+    draw = random.Random(71)
+    rows = []
+    for i in range(900):  # one in nine toxic; the telling word is in most toxic and some clean texts
+        toxic = i % 9 == 0
+        words = [f"w{draw.randrange(40)}" for _ in range(12)] + ["vile"] * (draw.random() < (0.7 if toxic else 0.15))
+        rows.append((i, " ".join(words), int(i % 2), int(toxic)))
+    probes = [(10**7 + i, t, None, None) for i, t in enumerate(["w1 w2 w3 w4", "w5 vile w6 w7"])]
+    found = []
+    for times in (1, 12):
+        table = spark.createDataFrame([(i + n * 1000, *r) for n in range(times) for i, *r in rows] + probes, "doc_id long, text string, low int, bad int")
+        labels = table.where("doc_id < 10000000").drop("text")
+        chain = toxicity.train(table, labels, ["low", "bad"], 2000)
+        got = toxicity.scored(table.where("doc_id >= 10000000"), chain, ["low", "bad"], 0.5).orderBy("doc_id").collect()
+        found.append([r.p_bad for r in got])
+    (plain, vile), (plain_large, vile_large) = found
+    assert abs(plain - plain_large) < 0.05 and abs(vile - vile_large) < 0.1
+    assert plain_large < 0.12 and 0.25 < vile_large < 0.5  # 0.04 and 0.37 by Bayes' rule
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "bad"), (2, None), (3, ""), (None, "bad"), (1, "bad"), (4, "word " * 100_000)], "doc_id long, text string")
     docs = docs.selectExpr("*", "1 AS p_x", "'q' AS is_x")
