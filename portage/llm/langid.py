@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from portage.llm.common import in_tasks, table
 
-#: Runs of letters (digits and underscores end a word).
-WORD = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters (digits and underscores end one). A longer run, as in scripts without spaces, is as many words
+#: of this length as it holds and the rest.
+LONGEST_WORD = 11
+WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
 
 UNKNOWN = "und"
 
@@ -26,8 +28,8 @@ SAMPLE_PER_LANGUAGE = 300
 #: Hashed features, words in a training sequence, and words that a lexicon feature takes to be known.
 BUCKETS, SEQUENCE, LEXICON_COUNT = 1 << 17, 24, 3
 
-#: Features of a word at most; a longer word keeps its affixes and first 3-grams.
-MAX_FEATURES = 16
+#: Features of a word at most: its affixes, itself and all 3-grams of the longest word.
+MAX_FEATURES = 7 + LONGEST_WORD - 2
 
 #: Characters of texts decoded together: bounds the memory of a task whatever the batch holds.
 PIECE_CHARS = 3_000_000

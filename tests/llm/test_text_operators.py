@@ -385,6 +385,19 @@ def test_a_language_of_short_texts_stands_beside_long_ones(spark):
     assert names.count("de") / len(names) >= 0.9
 
 
+def test_the_whole_of_a_long_run_of_letters_counts():
+    draw = random.Random(73)
+
+    def run(letters, n):
+        return "".join(draw.choice(letters) for _ in range(n))
+
+    chain = langid.fit([(lang, run(letters, 60)) for lang, letters in (("aa", "abcdefgh"), ("zz", "stuvwxyz")) for _ in range(60)])
+    text = run("abcdefgh", 22) + run("stuvwxyz", 600) + run("abcdefgh", 11)
+    names, shares = langid.Labeller(chain).label([text])
+    assert names == ["zz"] and shares[0] > 0.85
+    assert len(langid.features("abcdefghijk", frozenset(["abcdefghijk"]))) == langid.MAX_FEATURES
+
+
 def test_language_of_odd_rows(spark, chain):
     found = {(r.doc_id, r.held_out): (r.lang_pred, r.score) for r in langid.identify(odd(spark), chain).collect()}
     by_id = {i: v for (i, _), v in found.items()}
