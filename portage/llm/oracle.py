@@ -21,6 +21,92 @@ def _base32(hexadecimal: str) -> str:
     return f"list_aggregate(list_transform(range(8), lambda i: {digits}), 'string_agg', '')"
 
 
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text: each byte is followed by eight steps of one bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = f"CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, {0xEDB88320}) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_prepend(CAST({0xFFFFFFFF} AS BIGINT), {steps}), lambda a, x: {step}), {0xFFFFFFFF})"
+
+
+def _edit(path: str, cost: str, edit: str) -> str:
+    """SQL for a path of edits (nine digits of cost, then the initials) and one more."""
+    return f"lpad(CAST(CAST({path}[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || {path}[10:] || '{edit}'"
+
+
+def _repair() -> str:
+    """SQL for the repair: the best path to each of the four states, row by row, forward."""
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    reroled = {s: _edit(s, "2 + cut", "R") for s in ("s0", "s1", "s2", "s3")}
+    kept = {s: _edit(s, "cut", "K") for s in ("s0", "s1", "s2", "s3")}
+    gone = {s: _edit(s, "3", "D") for s in ("s0", "s1", "s2", "s3")}
+    to_user = f"least({reroled['s0']}, {reroled['s1']}, {reroled['s3']})"
+    as_user = f"least({kept['s0']}, {kept['s1']}, {kept['s3']})"
+    inserted = f"least(n2, {_edit('n0', '2', 'I')}, {_edit('n1', '2', 'I')}, {_edit('n3', '2', 'I')})"
+    return f"""
+        WITH RECURSIVE h AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+            FROM conversations),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM h),
+        placed AS (
+            SELECT *, rtrim(text, {space}) AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i
+            FROM damaged),
+        judged AS (
+            SELECT *, role[1] AS initial, said = '' OR again AS must_go,
+                CAST(NOT (said = '' OR again) AND said[-1] NOT IN ('.', '!', '?') AS INTEGER) AS cut
+            FROM placed),
+        counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (said = '') AS blank, count(*) FILTER (said <> '' AND again) AS duplicate, sum(cut) AS truncated
+            FROM judged GROUP BY conv_id),
+        pairs AS (
+            SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair, i FROM judged),
+        wrong AS (
+            SELECT p.conv_id, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs p GROUP BY p.conv_id),
+        paths AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000000002I' AS s2, '000000004II' AS s3
+            FROM counts
+            UNION ALL
+            SELECT conv_id, i, n0, n1, t2, least(n3, {_edit('t2', '2', 'I')})
+            FROM (
+                SELECT *, {inserted} AS t2 FROM (
+                    SELECT p.conv_id, j.i, {gone['s0']} AS n0,
+                        least({gone['s1']}, CASE WHEN NOT must_go AND initial = 's' THEN {kept['s0']} END) AS n1,
+                        least({gone['s2']}, CASE WHEN NOT must_go THEN {to_user} END, CASE WHEN NOT must_go AND initial = 'u' THEN {as_user} END) AS n2,
+                        least({gone['s3']}, CASE WHEN NOT must_go THEN {reroled['s2']} END, CASE WHEN NOT must_go AND initial = 'a' THEN {kept['s2']} END) AS n3
+                    FROM paths p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1))),
+        best AS (
+            SELECT p.conv_id, CAST(least(s0, s3)[1:9] AS BIGINT) AS cost, least(s0, s3)[10:] AS audit
+            FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i),
+        edits AS (
+            SELECT conv_id, p, audit[p] AS edit, length(replace(audit[1:p], 'I', '')) AS i
+            FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best)),
+        made AS (
+            SELECT e.conv_id, p, edit, role, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY p) AS k,
+                first_value(edit = 'K' AND initial = 's') OVER (PARTITION BY e.conv_id ORDER BY p) AS opened
+            FROM edits e JOIN judged j ON j.conv_id IS NOT DISTINCT FROM e.conv_id AND j.i = greatest(e.i, 1)
+            WHERE edit <> 'D'),
+        repaired AS (
+            SELECT conv_id, sha256(string_agg(
+                CASE WHEN edit = 'K' THEN role WHEN (k - CAST(opened AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest
+            FROM made GROUP BY conv_id)
+        SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+            CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+            CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+            coalesce(digest, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN wrong w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 _PROBE = " UNION ALL ".join(f"SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in PROBE)
 
 _FOUND = {
@@ -91,6 +177,7 @@ _FOUND = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_conversation_structure_repair": _repair(),
 }
 
 ORACLE_SQL = dict(_FOUND)
