@@ -52,10 +52,13 @@ def _repair() -> str:
                 CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
                 unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
             FROM h),
-        placed AS (
-            SELECT *, rtrim(text, {space}) AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
-                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i
+        seen AS (
+            SELECT *, rtrim(text, {space}) AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again
             FROM damaged),
+        placed AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), again) AS i
+            FROM seen),
         judged AS (
             SELECT *, role[1] AS initial, said = '' OR again AS must_go,
                 CAST(NOT (said = '' OR again) AND said[-1] NOT IN ('.', '!', '?') AS INTEGER) AS cut
@@ -177,6 +180,26 @@ _FOUND = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_ranked_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (
+            SELECT item_id, unnest(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+        asked AS (SELECT item_id, term, count(*) AS often FROM b GROUP BY item_id, term),
+        corpus AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+        found AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d)
+            WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term),
+        weighed AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+            FROM found, corpus GROUP BY term),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(often * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+            FROM found JOIN weighed USING (term) JOIN asked USING (term), corpus GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0) WHERE k <= 20""",
     "op13_conversation_structure_repair": _repair(),
 }
 

@@ -167,7 +167,7 @@ def repair_plans(turns: DataFrame, absent: str | None = None) -> DataFrame:
     # One exchange: rows dealt by conversation are also together by conversation and digest.
     dealt = light.repartition("conv_id").withColumn("again", F.row_number().over(seen) > 1)
     dealt = dealt.withColumns({"blank": F.col("tail") == "", "symbol": _symbol().cast("int")})
-    dealt = dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "digest")
+    dealt = dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "digest", "again")
     schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in PLAN.split(", ")])
 
     def closed(conv: int | None, symbols: bytearray, turns_seen: list) -> dict:

@@ -12,7 +12,7 @@ from portage.llm.queries import QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in (*range(1, 12), 13)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
