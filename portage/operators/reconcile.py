@@ -87,28 +87,42 @@ def missing_sources(expected: DataFrame, target: DataFrame, bound_to: DataFrame
     return absent.unionByName(unbound)
 
 
-def row_hash(columns: list[str]) -> Column:
-    """64-bit hash of the row. The null flags keep (null, x) and (x, null) apart, as a null adds nothing itself."""
+#: Marks rows of the target that hold a value which the source's type cannot hold.
+FITS = "_fits"
+
+
+def row_parts(columns: list[str]) -> list[Column]:
+    """What tells rows apart: values and null flags, which keep (null, x) and (x, null) apart as a null adds nothing itself."""
     parts: list[Column] = []
     for name in columns:
         column = F.col(f"`{name}`")
         parts += [column, column.isNull()]
-    return F.xxhash64(*parts)
+    return parts
 
 
-def _named_like(df: DataFrame, other: DataFrame) -> DataFrame:
-    """``df`` with the names and types of the columns of ``other`` that it has in whatever case."""
+def compared_like(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` with the names and types of the columns of ``other`` that it has in whatever case.
+
+    Where a type differs, ``_fits`` tells whether all values of the row come back unchanged from the other's type: 45.7
+    does not from a whole number, nor a time of day from a date.
+    """
     wanted = {f.name.lower(): f for f in other.schema.fields}
-    return df.select(*[
-        F.col(f"`{f.name}`").try_cast(like.dataType).alias(like.name)
-        if (like := wanted.get(f.name.lower())) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ])
+    columns, fits = [], []
+    for field in df.schema.fields:
+        column, like = F.col(f"`{field.name}`"), wanted.get(field.name.lower())
+        if like is None:
+            columns.append(column)
+            continue
+        own = column.try_cast(like.dataType)
+        columns.append(own.alias(like.name))
+        if field.dataType != like.dataType:
+            fits.append(own.try_cast(field.dataType).eqNullSafe(column))
+    return df.select(*columns, *([reduce(lambda a, b: a & b, fits).alias(FITS)] if fits else []))
 
 
 def column_differences(source: DataFrame, target: DataFrame) -> list[tuple[str, str]]:
     """Columns of one side only, as (column, ``lost_column`` or ``added_column``); case does not matter."""
-    here, there = ({c.lower() for c in df.columns} for df in (source, target))
+    here, there = ({c.lower() for c in df.columns if c != FITS} for df in (source, target))
     return sorted([(c, "lost_column") for c in here - there] + [(c, "added_column") for c in there - here])
 
 
@@ -121,16 +135,17 @@ def reconcile_content(source: DataFrame, target: DataFrame, key: list[str]) -> D
     Both sides are tagged and put through one aggregation on the key: one shuffle of key and hash instead of two
     and an outer join, combined map-side, so keys that repeat (also within a side) cannot pile up in a task.
     Where a database changed a type (a number's width, a timestamp's zone) the target is compared in the source's
-    type; a value that does not fit it counts as changed.
+    type; a value that does not come back unchanged from it counts as changed.
     """
-    target = _named_like(target, source)
+    target = target if FITS in target.columns else compared_like(target, source)
     key = [next((c for c in source.columns if c.lower() == k.lower()), k) for k in key]
     if absent := [k for k in key if k not in source.columns or k not in target.columns]:
         raise ValueError(f"both sides need the key column {absent[0]}")
     common = [c for c in source.columns if c in target.columns and c not in key]
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        value = row_hash(common).cast("decimal(38,0)") if common else F.lit(0).cast("decimal(38,0)")
+        fits = F.col(FITS) if FITS in df.columns else F.lit(True)
+        value = F.xxhash64(*row_parts(common), fits).cast("decimal(38,0)")
         return df.select(
             *key,
             F.lit(1 if sign > 0 else 0).cast("long").alias("_source"),

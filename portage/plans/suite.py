@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from portage.functions import rewrite_rules as R
 from portage.functions.names import key_list, lower_columns, normalise_name
 from portage.functions.predicates import ColumnFilter, allowed_operators, preview
-from portage.operators import conflicts, graph, integrity, inventory, keys, reconcile, runlog, script, sequences
+from portage.operators import closure, conflicts, graph, hash_tree, integrity, inventory, key_ranges, keys, reconcile, runlog, script, sequences
 from portage.operators import stored_code as code
 from portage.operators.load import ParquetTarget, load_parquet, snapshot
 from portage.operators.textdep import contains_join
@@ -376,6 +376,36 @@ def extract_referential(spark, sf):
     return integrity.keep_referenced(_t(spark, sf, "lineitem"), ["l_orderkey"], orders, ["o_orderkey"])
 
 
+def _closed(spark, sf):
+    """Customers who keep their account, orders that follow other orders, and customers who name one of their orders."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(
+        F.col("o_orderkey") > 3, F.floor(F.col("o_orderkey") / 4)
+    ).alias("o_follows"))
+    named = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("c_order"))
+    customer = _filtered(spark, sf, "customer", ColumnFilter("c_acctbal", ">", -900)).select("c_custkey", "c_acctbal")
+    customer = customer.join(named.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return closure.referential_closure({"customer": customer, "orders": orders, "lineitem": lines}, [
+        closure.Reference("orders", ("o_custkey",), "customer", ("c_custkey",)),
+        closure.Reference("orders", ("o_follows",), "orders", ("o_orderkey",)),
+        closure.Reference("customer", ("c_order",), "orders", ("o_orderkey",)),
+        closure.Reference("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)),
+    ])
+
+
+@query
+def extract_closure(spark, sf):
+    """Keys that stay when a reference of a table to itself and a cycle of two tables are closed."""
+    kept = _closed(spark, sf).kept
+    parts = [("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
+    return reduce(DataFrame.unionByName, [kept[t].select(F.lit(t).alias("table_name"), F.col(k).alias("key")) for t, k in parts])
+
+
+@query
+def extract_removed(spark, sf):
+    return _closed(spark, sf).removed
+
+
 @query
 def count_rows(spark, sf):
     return reconcile.row_counts({t: _t(spark, sf, t) for t in TABLES})
@@ -437,6 +467,25 @@ def recon_content(spark, sf):
     return found.withColumnRenamed("O_ORDERKEY", "o_orderkey")
 
 
+@query
+def recon_tree(spark, sf):
+    """The content check by hash trees: single keys differ here and there, so most ranges are read once."""
+    source = _t(spark, sf, "orders")
+    off = F.pmod(F.col("o_orderkey"), F.lit(997))
+    price = F.when(off == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    moved = F.when(off == 2, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    target = source.where(off != 0).withColumns({"o_totalprice": price, "o_orderkey": moved})
+    return hash_tree.reconcile_tree(source, target, ["o_orderkey"]).rows
+
+
+@query
+def scan_split(spark, sf):
+    """A table read range by range of its two-column key: every row comes exactly once."""
+    lines = _t(spark, sf, "lineitem")
+    parts = key_ranges.key_ranges(lines, ["l_orderkey", "l_linenumber"], 8)
+    return reduce(DataFrame.unionByName, [lines.where(parts.between(i, i)) for i in range(len(parts))])
+
+
 # Conflicts and plan -----------------------------------------------------------------------------------------
 
 

@@ -315,6 +315,20 @@ _TYPE_BASE = "upper(split_part(data_type, '(', 1))"
 _TARGET_TYPE = f"""CASE {_TYPE_BASE} WHEN 'NUMBER' THEN 'NUMERIC' WHEN 'VARCHAR2' THEN 'VARCHAR' WHEN 'CLOB' THEN 'TEXT'
 ELSE {_TYPE_BASE} END || regexp_extract(data_type, '\\(.*\\)$', 0)"""
 
+_CLOSED = """WITH RECURSIVE o AS (
+          SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey > 3 THEN o_orderkey // 4 END AS o_follows FROM orders),
+        c AS (SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS c_order FROM customer WHERE c_acctbal > -900),
+        refs AS (
+          SELECT 'orders' AS t, o_orderkey AS k, 'customer' AS pt, o_custkey AS pk, 'orders(o_custkey) -> customer(c_custkey)' AS fk FROM o
+          UNION ALL SELECT 'orders', o_orderkey, 'orders', o_follows, 'orders(o_follows) -> orders(o_orderkey)' FROM o WHERE o_follows IS NOT NULL
+          UNION ALL SELECT 'customer', c_custkey, 'orders', c_order, 'customer(c_order) -> orders(o_orderkey)' FROM c WHERE c_order IS NOT NULL),
+        there AS (SELECT 'orders' AS pt, o_orderkey AS pk FROM o UNION ALL SELECT 'customer', c_custkey FROM c),
+        dead AS (
+          SELECT t, k FROM refs ANTI JOIN there USING (pt, pk)
+          UNION SELECT r.t, r.k FROM refs r JOIN dead d ON r.pt = d.t AND r.pk = d.k),
+        lines AS (SELECT l_orderkey, l_orderkey IN (SELECT k FROM dead WHERE t = 'orders')
+          OR l_orderkey NOT IN (SELECT o_orderkey FROM orders) AS gone FROM lineitem)"""
+
 _PRICE = "o_totalprice + CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END"
 
 _REPORT = """
@@ -462,6 +476,15 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
         WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey""",
     "extract_referential": """SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders
         WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))""",
+    "extract_closure": f"""{_CLOSED}
+        SELECT 'customer' AS table_name, c_custkey AS key FROM c WHERE c_custkey NOT IN (SELECT k FROM dead WHERE t = 'customer')
+        UNION ALL SELECT 'orders', o_orderkey FROM o WHERE o_orderkey NOT IN (SELECT k FROM dead WHERE t = 'orders')
+        UNION ALL SELECT 'lineitem', l_orderkey FROM lines WHERE NOT gone""",
+    "extract_removed": f"""{_CLOSED}, broken AS (
+          SELECT r.t, fk FROM refs r JOIN dead d ON d.t = r.pt AND d.k = r.pk UNION ALL SELECT t, fk FROM refs ANTI JOIN there USING (pt, pk)
+          UNION ALL SELECT 'lineitem', 'lineitem(l_orderkey) -> orders(o_orderkey)' FROM lines WHERE gone
+          UNION ALL SELECT t, NULL FROM dead UNION ALL SELECT 'lineitem', NULL FROM lines WHERE gone)
+        SELECT t AS table_name, fk AS reference, count(*) AS n_rows FROM broken GROUP BY t, fk""",
     "count_rows": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL_TABLES),
     "recon_counts": """SELECT 'customer' AS table_name, count(*) AS source_rows, count(*) AS target_rows, 'done' AS state
           FROM customer
@@ -495,6 +518,15 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
           IS DISTINCT FROM (t.o_custkey, t.o_orderstatus, t.o_totalprice, t.o_orderdate)
         UNION ALL SELECT NULL, 'lost_column', 'o_orderpriority', NULL, NULL
         UNION ALL SELECT NULL, 'added_column', 'loaded', NULL, NULL""",
+    "recon_tree": """WITH tgt AS (
+          SELECT o_orderkey AS source_key, CASE o_orderkey % 997 WHEN 2 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey,
+            o_orderkey % 997 = 1 AS changed FROM orders WHERE o_orderkey % 997 <> 0)
+        SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
+          CASE WHEN t.o_orderkey IS NULL THEN 'lost' WHEN s.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS difference,
+          CAST(NULL AS VARCHAR) AS column_name, CAST(s.o_orderkey IS NOT NULL AS BIGINT) AS source_rows, CAST(t.o_orderkey IS NOT NULL AS BIGINT) AS target_rows
+        FROM orders s FULL OUTER JOIN tgt t ON t.o_orderkey = s.o_orderkey
+        WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR t.changed""",
+    "scan_split": "SELECT * FROM lineitem",
     "conflict_tables": _with(
         "SELECT * FROM cat_tables WHERE lower(table_name) IN (SELECT table_name FROM existing)", "cat_tables", "existing"),
     "conflict_keep": _with("""SELECT * FROM cat_tables WHERE lower(table_name) NOT IN (SELECT table_name FROM existing)

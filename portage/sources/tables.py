@@ -7,9 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from portage.functions.names import lower_columns
 from portage.functions.predicates import ColumnFilter, apply_filters
+from portage.operators.key_ranges import key_ranges, sql_literal
+from portage.session import new_work_dir, stage
 
 
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +73,29 @@ class JdbcSource:
         return reader.load()
 
 
+    def table_by_key(self, spark: SparkSession, name: str, key: list[str], ranges: int, fetch_size: int = 10_000) -> DataFrame:
+        """Full scan of ``schema.table`` over ``ranges`` connections, each with a range of a key of any columns and types.
+
+        The key columns are read first, over one connection, for the split points. Each row, whatever nulls its key has,
+        fulfils the condition of exactly one range, as the database itself orders its keys.
+        """
+        keys = stage(self.table(spark, name, fetch_size=fetch_size).select(*key), new_work_dir(spark, "split-keys"))
+        parts = key_ranges(keys, key, ranges)
+        points = parts.point_values()
+        if points and any(isinstance(f.dataType, T.StringType) for f in parts.fields):
+            points = self._sorted_there(spark, name, key, points)
+        properties = {**self.options, "driver": self.driver, "fetchsize": str(fetch_size)}
+        return spark.read.jdbc(self.url, name, predicates=parts.sql(points), properties=properties)
+
+    def _sorted_there(self, spark: SparkSession, name: str, key: list[str], points: list[tuple]) -> list[tuple]:
+        """Some of a table's keys, in the order of the database: it may collate text in a way of its own."""
+        names = [f'"{k}"' for k in key]
+        places = [" AND ".join(f"{n} = {sql_literal(v)}" for n, v in zip(names, p)) for p in points]
+        listed = ", ".join(names)
+        found = self.query(spark, f"SELECT DISTINCT {listed} FROM {name} WHERE {' OR '.join(places)} ORDER BY {listed}")
+        return [tuple(r) for r in found.collect()]
+
+
 @dataclass(frozen=True)
 class Extraction:
     """How to extract one table: ``all`` rows, the ``custom`` filters, or ``none`` (schema only)."""
