@@ -200,6 +200,17 @@ def test_common_words_do_not_make_all_pairs(spark, name):
     assert pairs.count() < 10 * 500
 
 
+@pytest.mark.parametrize("name", ["db.app.customer_{0}", "db{0}.app.customer", "db{1}.app.hr.emp{2}", "db{1}.app.emp{2}"])
+@pytest.mark.parametrize("shift", [0, 10_000])
+def test_names_of_one_schema_meet_their_own_texts_only(spark, name, shift):
+    of = lambda i: name.format(i, i % 40, i // 40)
+    texts = spark.createDataFrame([(i, f"select * from {of(i + shift)} where x") for i in range(600)], "tid int, body string")
+    names = spark.createDataFrame([(i, of(i)) for i in range(600)], "nid int, needle string")
+    _, _, pairs = _candidates(texts, names, "tid", "body", "nid", "needle")
+    matches = contains_join(texts, names, "tid", "body", "nid", "needle").count()
+    assert pairs.count() <= matches + 600
+
+
 def test_containment_has_no_nested_loop(spark):
     t = spark.createDataFrame([(1, "a b c d e f")], "tid int, body string")
     n = spark.createDataFrame([(1, "b c d e f"), (2, "c")], "nid int, needle string")
