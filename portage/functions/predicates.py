@@ -64,18 +64,23 @@ def typed_literal(df: DataFrame, value: object, data_type: T.DataType) -> Column
     """``value`` as a literal to compare a column with. A value that does not parse raises here, not in a job.
 
     It has the column's type where that holds it exactly. A number that the type would round or cut, such as 45.7 for a
-    whole-number column, stays as it is, and the comparison is made in the wider type. The value is bound, never
-    spliced into SQL text, so it may hold blanks and quotes.
+    whole-number column, and a point in time for a date column stay as they are, and the comparison is made in the wider
+    type. The value is bound, never spliced into SQL text, so it may hold blanks and quotes.
     """
     if value is None:
         raise FilterError("a filter needs a value")
     kind = data_type.simpleString()
-    number = isinstance(data_type, (T.IntegralType, T.DecimalType))
-    wide = ", try_cast(:value AS decimal(38,18)) AS wide" if number else ", null AS wide"
+    wider = "timestamp_ntz" if isinstance(data_type, T.DateType) else None
+    if isinstance(data_type, (T.IntegralType, T.DecimalType)):
+        wider = "decimal(38,18)"
+    wide = f"try_cast(:value AS {wider})" if wider else "null"
+    same = f"try_cast(:value AS {kind}) = {wide}" if wider else "true"
     # A one-row relation: the optimizer folds the casts, no task runs.
-    check = df.sparkSession.sql(f"SELECT try_cast(:value AS {kind}) AS own{wide}", args={"value": value}).first()
-    if check["wide"] is not None and check["own"] != check["wide"]:
-        return F.lit(check["wide"]).cast("decimal(38,18)")
+    check = df.sparkSession.sql(
+        f"SELECT try_cast(:value AS {kind}) AS own, {wide} AS wide, {same} AS same", args={"value": value}
+    ).first()
+    if check["wide"] is not None and check["same"] is not True:
+        return F.lit(check["wide"]).cast(wider)
     if check["own"] is None:
         raise FilterError(f"{value!r} is no {data_type.simpleString()}")
     return F.lit(value).cast(data_type)

@@ -21,7 +21,7 @@ Rule = Callable[[Column], Column]
 _OPEN, _CLOSE = "\x01", "\x02"
 # Literals, line comments, block comments, and stray mark characters of the text itself.
 _ATOM = r"'[^']*'|--[^\n]*|(?s:/\*.*?\*/)|[\x01\x02]"
-_NAME = r"[\w$#]+"
+_NAME = NAME = r"[\w$#]+"
 
 
 def literals(body: Column) -> Column:

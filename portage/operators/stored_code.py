@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portage.functions import rewrite_rules as R
+from portage.operators.graph import blocked_by_failure
 from portage.session import new_work_dir, stage
 
 _KEY = ["owner", "name", "type"]
@@ -315,9 +316,51 @@ def with_drop(scripts: DataFrame, existing: DataFrame, schema: str) -> DataFrame
     )
 
 
+def _judged(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
+    """Every object with its ``reason`` (null if it can be translated), ``body``, and the routines its code names: ``callee``
+    behind CALL, and ``calls``, all names before a parenthesis or the end of a statement. A written table."""
+    names = F.regexp_extract_all("_code", F.lit(rf"(?i)((?:{R.NAME}\.)?{R.NAME})\s*[(;]"), F.lit(1))
+    judged = _triaged(bodies, views, schema).select(
+        *_KEY, "reason", "body", F.when(F.col("type") == "TRIGGER", called_routine(F.col("_code"))).otherwise("").alias("callee"),
+        F.array_distinct(F.transform(names, F.lower)).alias("calls"),
+    )
+    return stage(judged, new_work_dir(bodies.sparkSession, "judged-code"))
+
+
+def _set_aside(judged: DataFrame) -> DataFrame:
+    """What cannot be translated by itself: rejected objects, and triggers that call a routine which is missing or rejected."""
+    routines = judged.where("reason IS NULL AND type IN ('PROCEDURE', 'FUNCTION')").select("owner", F.lower("name").alias("callee")).distinct()
+    lost = judged.where("reason IS NULL AND callee <> ''").join(routines, ["owner", "callee"], "left_anti")
+    lost = lost.withColumn("reason", F.lit("missing routine")).select(judged.columns)
+    return judged.where("reason IS NOT NULL").unionByName(lost)
+
+
 def quarantined(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
-    """Rejected bodies with the reason, whole, for manual migration."""
-    return _triaged(bodies, views, schema).where(F.col("reason").isNotNull()).select(*_KEY, "reason", "body")
+    """Objects that are not emitted, with the reason, whole, for manual migration: with what ``rewrite_all`` emits, all there are."""
+    return _set_aside(_judged(bodies, views, schema)).select(*_KEY, "reason", "body")
+
+
+def blocked_by_calls(bodies: DataFrame, views: DataFrame, schema: str) -> DataFrame:
+    """Objects that can be translated but call, directly or through others, one that is set aside: ``blocked_by`` is the
+    smallest such object and ``reason`` what is wrong with it.
+
+    Names count as calls when the same owner (or the one before the dot) has a routine of that name; others may be
+    functions of the database. The failure is carried along the call graph as ``graph.blocked_by_failure`` carries it.
+    """
+    judged = _judged(bodies, views, schema)
+    identity = F.concat_ws(".", "owner", F.lower("name"), F.lower("type"))
+    routines = judged.where("type IN ('PROCEDURE', 'FUNCTION')").select(
+        F.lower("owner").alias("_owner"), F.lower("name").alias("_name"), identity.alias("parent")
+    )
+    named = judged.select(identity.alias("child"), F.lower("owner").alias("_owner"), F.explode("calls").alias("_call")).select(
+        "child", F.when(F.col("_call").contains("."), F.substring_index("_call", ".", 1)).otherwise(F.col("_owner")).alias("_owner"),
+        F.substring_index("_call", ".", -1).alias("_name"),
+    )
+    edges = named.join(routines, ["_owner", "_name"]).select("child", "parent")
+    aside = stage(_set_aside(judged).select(identity.alias("node"), "reason"), new_work_dir(bodies.sparkSession, "set-aside"))
+    blocked = blocked_by_failure(edges, aside.select("node"))
+    found = judged.select(*_KEY, identity.alias("node")).join(blocked, "node")
+    return found.join(aside.withColumnRenamed("node", "blocked_by"), "blocked_by").select(*_KEY, "blocked_by", "reason")
 
 
 def write_quarantine(rejected: DataFrame, path: str) -> None:

@@ -767,6 +767,11 @@ def src_quarantine(spark, sf):
     return spark.read.schema(schema).json(path)
 
 
+@query
+def src_blocked(spark, sf):
+    return code.blocked_by_calls(_bodies(spark, sf), cat.cat_views(spark, sf), TARGET_SCHEMA)
+
+
 def _ready(spark, sf):
     return code.ready(_bodies(spark, sf), cat.cat_views(spark, sf), TARGET_SCHEMA)
 

@@ -72,7 +72,7 @@ def _with(query: str, *names: str, recursive: bool = False) -> str:
         need(name)
     tables = ",\n".join(f"{n} AS ({_CTES[n]})" for n in order)
     if recursive:
-        return f"WITH RECURSIVE {tables}, {query.strip()}"
+        return f"WITH RECURSIVE {tables}, {query.strip().lstrip('+')}"
     joiner = ", " if query.lstrip().startswith("+") else " "
     return f"WITH {tables}{joiner}{query.lstrip().lstrip('+')}"
 
@@ -206,6 +206,15 @@ triaged AS (SELECT v.* EXCLUDE (rest), CASE
 ready AS (SELECT * FROM triaged WHERE reason IS NULL)"""
 
 
+_CALLED = rf"lower(regexp_extract(code, '(?i)\bCALL\s+({_N})', 1))"
+
+#: Rejected objects, and triggers whose routine is missing or rejected.
+_ASIDE = f"""aside AS (SELECT owner, name, type, body, reason FROM triaged WHERE reason IS NOT NULL
+  UNION ALL SELECT t.owner, t.name, t.type, t.body, 'missing routine' FROM ready t WHERE t.type = 'TRIGGER' AND {_CALLED} <> ''
+    AND NOT EXISTS (SELECT 1 FROM ready r WHERE r.type IN ('PROCEDURE', 'FUNCTION') AND r.owner = t.owner
+      AND lower(r.name) = {_CALLED.replace('code', 't.code')}))"""
+
+
 def _statements(block: str) -> str:
     cut = f"regexp_extract({block}, '(?is)^(.*?)\\bEXCEPTION\\s+WHEN\\b', 1)"
     end = _re(block, (rf"(?i)\bEND\b\s*(?:{_N})?\s*;?\s*$", ""))
@@ -248,7 +257,6 @@ built AS (SELECT owner, name, type, atoms, target, 'CREATE OR REPLACE ' || type
 {_steps('built', [('late1', _raise_calls('code')), ('late2', _notices('code'))])}
 SELECT owner, name, type, target AS target_name, type AS target_type, {_restore('code')} AS script FROM late2"""
 
-_CALLED = rf"lower(regexp_extract(code, '(?i)\bCALL\s+({_N})', 1))"
 _TRIGGER_HEAD = _strip(_re(
     r"regexp_extract(code, '(?is)^(.*?)\b(?:DECLARE|BEGIN|CALL)\b', 1)",
     (r"(?i)^\s*TRIGGER\s+[\w$#.\"]+", ""), *_qualify("ON"),
@@ -612,8 +620,20 @@ UNION ALL SELECT 5, lower(constraint_name), 'ALTER TABLE {S}.' || lower(src_tabl
     "src_untranslatable": _with(f"+{_MASKED}, {_SYSTEM} SELECT * FROM system", "bodies", "cat_views"),
     "src_triage": _with(f"""+{_TRIAGED} SELECT owner, name, type,
         CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason FROM triaged""", "bodies", "cat_views"),
-    "src_quarantine": _with(f"""+{_TRIAGED} SELECT owner, name, type, body, reason FROM triaged
-        WHERE reason IS NOT NULL""", "bodies", "cat_views"),
+    "src_quarantine": _with(f"""+{_TRIAGED}, {_ASIDE} SELECT owner, name, type, body, reason FROM aside""", "bodies", "cat_views"),
+    "src_blocked": _with(f"""+{_TRIAGED}, {_ASIDE},
+        ids AS (SELECT *, owner || '.' || lower(name) || '.' || lower(type) AS id FROM triaged),
+        calls AS (SELECT id, lower(owner) AS o, unnest(list_transform(regexp_extract_all(code, '(?i)((?:{_N}\\.)?{_N})\\s*[(;]', 1),
+          lambda x: lower(x))) AS c FROM ids),
+        edges AS (SELECT DISTINCT k.id AS child, r.id AS parent FROM calls k JOIN ids r ON r.type IN ('PROCEDURE', 'FUNCTION')
+          AND lower(r.owner) = CASE WHEN contains(c, '.') THEN split_part(c, '.', 1) ELSE o END
+          AND lower(r.name) = split_part(c, '.', -1) WHERE k.id <> r.id),
+        roots AS (SELECT owner || '.' || lower(name) || '.' || lower(type) AS id, reason FROM aside),
+        reach AS (SELECT child, parent AS root FROM edges WHERE parent IN (SELECT id FROM roots)
+          UNION SELECT e.child, r.root FROM edges e JOIN reach r ON e.parent = r.child)
+        SELECT i.owner, i.name, i.type, min(root) AS blocked_by, arg_min(r.reason, root) AS reason
+        FROM reach JOIN ids i ON i.id = child JOIN roots r ON r.id = root
+        WHERE child NOT IN (SELECT id FROM roots) GROUP BY i.owner, i.name, i.type""", "bodies", "cat_views", recursive=True),
     "rw_envelope": _with(_ENVELOPE, "bodies", "cat_views"),
     "rw_trigger": _with(_BLOCK_TRIGGERS, "bodies", "cat_views"),
     "rw_trigger_call": _with(_CALL_TRIGGERS, "bodies", "cat_views"),

@@ -173,6 +173,8 @@ UNION ALL SELECT 'APP', 'src_' || o.o_orderkey,
   END
   FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
   WHERE NOT (o.o_orderstatus = 'P' AND o.o_orderpriority = '1-URGENT')
+UNION ALL SELECT 'APP', 'src_' || o.o_orderkey, 'FUNCTION', 70, 'y := src_' || (o.o_orderkey - 1) || '(1) + app.src_' || o.o_custkey || '(2);'
+  FROM {orders} o WHERE o.o_orderstatus = 'F'
 UNION ALL SELECT 'APP', 'src_' || o.o_orderkey, CASE o.o_orderstatus WHEN 'F' THEN 'FUNCTION' ELSE 'PROCEDURE' END, 80,
   CASE WHEN o.o_orderstatus = 'F' THEN 'RETURN 1;'
     WHEN o.o_orderpriority = '2-HIGH' THEN 'raise_application_error(-20001, ''bad row 5%'');'

@@ -121,3 +121,14 @@ def test_literals(spark):
         "s": "'it''s'", "d": "1.5", "x": "CAST('NaN' AS DOUBLE PRECISION)", "n": "NULL", "b": "'\\x0aff'",
         "t": "TIMESTAMP '2020-01-02 03:04:05'", "f": "TRUE",
     }
+
+
+def test_points_in_time_are_not_cut_for_date_columns(spark):
+    days = spark.sql("SELECT DATE'2020-01-01' + CAST(id AS INT) AS d FROM range(4)")
+    of = lambda *items: [str(r.d)[-2:] for r in apply_filters(days, items).orderBy("d").collect()]
+    assert of(ColumnFilter("d", "<", "2020-01-02 12:00:00")) == ["01", "02"]
+    assert of(ColumnFilter("d", ">", "2020-01-02 12:00:00")) == ["03", "04"]
+    assert of(ColumnFilter("d", "=", "2020-01-02 12:00:00")) == []
+    assert of(ColumnFilter("d", "=", "2020-01-02 00:00:00")) == ["02"]
+    assert of(ColumnFilter("d", "BETWEEN", "2020-01-01 00:00:01", "2020-01-03 23:00:00")) == ["02", "03"]
+    assert of(ColumnFilter("d", ">=", "2020-01-03")) == ["03", "04"]

@@ -216,3 +216,40 @@ def test_containment_has_no_nested_loop(spark):
     n = spark.createDataFrame([(1, "b c d e f"), (2, "c")], "nid int, needle string")
     plan = contains_join(t, n, "tid", "body", "nid", "needle")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def assembled(spark, objects):
+    return code.assemble(spark.createDataFrame(
+        [(owner, name, kind, i, line) for (owner, name, kind), body in objects.items() for i, line in enumerate(body.split("\n"))],
+        "owner string, name string, type string, line int, text string",
+    ))
+
+
+OBJECTS = {
+    ("APP", "bad", "PROCEDURE"): "PROCEDURE bad(a IN NUMBER) IS\nBEGIN\nDBMS_LOB.WRITE(x);\nEND;",
+    ("APP", "one", "PROCEDURE"): "PROCEDURE one(a IN NUMBER) IS\nBEGIN\nbad(1); -- two(1)\nEND;",
+    ("APP", "two", "FUNCTION"): "FUNCTION two(a NUMBER) RETURN NUMBER IS\nBEGIN\nRETURN app.ONE(1) + length('bad(2)');\nEND;",
+    ("APP", "ring", "FUNCTION"): "FUNCTION ring(a NUMBER) RETURN NUMBER IS\nBEGIN\nRETURN ring(1) + ring2(1);\nEND;",
+    ("APP", "ring2", "FUNCTION"): "FUNCTION ring2(a NUMBER) RETURN NUMBER IS\nBEGIN\nRETURN ring(1) + two(3);\nEND;",
+    ("APP", "fine", "PROCEDURE"): "PROCEDURE fine(a IN NUMBER) IS\nBEGIN\nx := 'bad(1);'; y := other.bad(2); z := nobody(3);\nEND;",
+    ("APP", "lost", "TRIGGER"): "TRIGGER lost BEFORE INSERT ON t FOR EACH ROW CALL nowhere(1)",
+    ("APP", "kept", "TRIGGER"): "TRIGGER kept BEFORE INSERT ON t FOR EACH ROW CALL two(1)",
+    ("APP", "cut", "TRIGGER"): "TRIGGER cut BEFORE INSERT ON t FOR EACH ROW CALL bad(1)",
+    ("OTHER", "one", "PROCEDURE"): "PROCEDURE one(a IN NUMBER) IS\nBEGIN\nx := 1;\nEND;",
+}
+
+
+def test_every_object_is_emitted_or_set_aside(spark):
+    bodies, views = assembled(spark, OBJECTS), spark.createDataFrame([], "owner string, view_name string, text string")
+    aside = {(r.owner, r.name, r.type): (r.reason, r.body) for r in code.quarantined(bodies, views, "app").collect()}
+    emitted = {(r.owner, r.name, r.type) for r in code.rewrite_all(bodies, views, "app").collect()}
+    assert {k[1]: v[0] for k, v in aside.items()} == {"bad": "unsupported", "lost": "missing routine", "cut": "missing routine"}
+    assert all(OBJECTS[k] == body for k, (_, body) in aside.items())
+    assert emitted | set(aside) == set(OBJECTS) and not emitted & set(aside)
+
+
+def test_callers_of_what_is_set_aside_are_blocked(spark):
+    bodies, views = assembled(spark, OBJECTS), spark.createDataFrame([], "owner string, view_name string, text string")
+    found = {(r.owner, r.name): (r.blocked_by, r.reason) for r in code.blocked_by_calls(bodies, views, "app").collect()}
+    root = ("APP.bad.procedure", "unsupported")
+    assert found == {("APP", n): root for n in ("one", "two", "ring", "ring2", "kept")}
