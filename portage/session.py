@@ -101,6 +101,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path) or ()
+    return [f.getPath().toString() for f in found]
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder; an error if the file system did not."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a work folder this library made, on whichever file system it lies."""
     if not path.startswith(work_root(spark) + "/"):

@@ -44,6 +44,28 @@ class JdbcSource:
         """Rows of a query the database runs itself."""
         return self.reader(spark).option("query", sql).load()
 
+    def execute(self, spark: SparkSession, *statements: str) -> None:
+        """Run statements over one connection of the driver's, all of them or none."""
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        made = loader.loadClass(self.driver).getDeclaredConstructor(gateway.new_array(jvm.java.lang.Class, 0))
+        properties = jvm.java.util.Properties()
+        for key, value in self.options.items():
+            properties.setProperty(key, str(value))
+        connection = made.newInstance(gateway.new_array(jvm.java.lang.Object, 0)).connect(self.url, properties)
+        try:
+            connection.setAutoCommit(False)
+            for sql in statements:
+                statement = connection.createStatement()
+                statement.execute(sql)
+                statement.close()
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+
     def table(
         self,
         spark: SparkSession,

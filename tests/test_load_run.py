@@ -231,3 +231,98 @@ def test_partitions_follow_the_data_size():
     assert sized_for(1)["spark.sql.shuffle.partitions"] == "200"
     assert int(sized_for(10 << 40)["spark.sql.shuffle.partitions"]) == 20480
     assert sized_for(100 << 40)["spark.sql.shuffle.partitions"] == "50000"
+
+
+# Commits and resumed runs ---------------------------------------------------------------------------------------
+
+
+def refuse(written):
+    raise RuntimeError("refused")
+
+
+def test_a_folder_is_swapped_after_its_check(spark, tmp_path):
+    target = load.ParquetTarget(str(tmp_path))
+    assert target.commit(spark.range(5).toDF("k"), "t", "k") == load.Loaded(5, 4)
+    seen = []
+    # The old table stays readable while the new one is loaded, from itself too.
+    done = target.commit(target.read(spark, "t").where("k > 1"), "t", check=lambda df: seen.append((df.count(), target.read(spark, "t").count())))
+    assert done.n_rows == 3 and seen == [(3, 5)] and target.read(spark, "t").count() == 3
+    with pytest.raises(RuntimeError, match="refused"):
+        target.commit(spark.range(9).toDF("k"), "t", check=refuse)
+    with pytest.raises(RuntimeError, match="refused"):
+        target.commit(spark.range(9).toDF("k"), "new", check=refuse)
+    assert target.read(spark, "t").count() == 3 and not target.exists(spark, "new")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_a_commit_that_broke_between_its_renames_is_taken_back(spark, tmp_path):
+    target = load.ParquetTarget(str(tmp_path))
+    target.commit(spark.range(5).toDF("k"), "t")
+    (tmp_path / "t").rename(tmp_path / "t.replaced-1")
+    with pytest.raises(RuntimeError, match="refused"):
+        target.commit(spark.range(9).toDF("k"), "t", check=refuse)
+    assert target.read(spark, "t").count() == 5
+
+
+def test_rows_that_arrive_twice_are_loaded_again(spark, database, monkeypatch):
+    target = load.JdbcTarget(database)
+    target.commit(spark.range(4).toDF("k"), "once")
+    write, calls = load.write_jdbc, []
+
+    def rerun(df, to, table, connections, truncate=False):
+        """A task whose first attempt was lost after its commit: its rows are in the table twice."""
+        write(df, to, table, connections, truncate)
+        calls.append(table)
+        if len(calls) == 1:
+            df.limit(3).write.format("jdbc").mode("append").options(url=to.url, driver=to.driver, dbtable=table).save()
+
+    monkeypatch.setattr(load, "write_jdbc", rerun)
+    assert target.commit(spark.range(10).toDF("k"), "once", "k") == load.Loaded(10, 9)
+    assert calls == ["once_loading"] * 2
+    assert sorted(r.k for r in target.read(spark, "once").collect()) == list(range(10))
+    assert not target.exists(spark, "once_loading")
+
+
+def test_a_database_table_keeps_its_rows_when_a_load_fails(spark, database):
+    target = load.JdbcTarget(database)
+    target.commit(spark.range(4).toDF("k"), "kept")
+    with pytest.raises(RuntimeError, match="refused"):
+        target.commit(spark.range(9).toDF("k"), "kept", check=refuse)
+    with pytest.raises(Exception, match="(?i)table/view|does not exist"):
+        database.execute(spark, "DELETE FROM kept", "INSERT INTO kept SELECT * FROM no_such_table")
+    assert target.read(spark, "kept").count() == 4
+    assert target.commit(spark.range(2).selectExpr("id AS k", "id AS other"), "kept").n_rows == 2
+    assert sorted(target.read(spark, "kept").columns) == ["k", "other"]
+
+
+def test_a_broken_run_goes_on_and_loads_each_table_once(spark, tmp_path, monkeypatch):
+    rows = spark.range(6).selectExpr("id AS k", "id AS up")
+    tables = {
+        "a": TableSpec(rows, ("k",), auto_column="k"), "b": TableSpec(rows, ("k",), (ForeignKey(("up",), "a", ("k",)),)),
+        "c": TableSpec(rows, ("k",), (ForeignKey(("up",), "b", ("k",)),)), "d": TableSpec(rows, ("k",)),
+    }
+    commit, loads, broken = load.ParquetTarget.commit, [], ["b"]
+
+    def counted(self, df, name, *rest, **more):
+        if name in broken:
+            raise KeyboardInterrupt  # the driver goes down in the second wave
+        done = commit(self, df, name, *rest, **more)
+        loads.append(name)
+        return done
+
+    monkeypatch.setattr(load.ParquetTarget, "commit", counted)
+    go = lambda run: migrate(spark, tables, str(tmp_path / "out"), status_path=str(tmp_path / "status"), run_id=run)
+    with pytest.raises(KeyboardInterrupt):
+        go("monday/1")
+    assert {r.table_name: r.state for r in runlog.states(spark, str(tmp_path / "status"), "monday/1").collect()} == {
+        "a": "done", "b": "started", "d": "done",
+    }
+    broken.clear()
+    report = {r.table_name: r for r in go("monday/1").collect()}
+    assert sorted(loads) == ["a", "b", "c", "d"]
+    assert {n: (r.state, r.level, r.rows_out) for n, r in report.items()} == {
+        "a": ("done", 0, 6), "b": ("done", 1, 6), "c": ("done", 2, 6), "d": ("done", 0, 6),
+    }
+    assert report["a"].next_value == 6
+    go("tuesday")
+    assert len(loads) == 8
