@@ -14,8 +14,9 @@ from portage.operators import closure, conflicts, graph, hash_tree, integrity, i
 from portage.operators import stored_code as code
 from portage.operators.load import ParquetTarget, load_parquet, snapshot
 from portage.operators.textdep import contains_join
+from portage.plans import whole_script
 from portage.plans.migrate import ForeignKey, TableSpec, migrate
-from portage.session import new_work_dir
+from portage.session import new_work_dir, stage
 from portage.sources import instance_catalog as cat
 from portage.sources.tables import Extraction, extract, has_rows, parquet_table, spread
 
@@ -849,3 +850,13 @@ def migrate_report(spark, sf):
 def migrate_referential(spark, sf):
     """The same with referential closure: orders and lines of dropped customers stay behind."""
     return migrate(spark, table_specs(spark, sf), new_work_dir(spark, "target"), referential=True)
+
+
+@query
+def script_full(spark, sf):
+    """One script of all tables, sequences and stored code: how many lines each of its parts has."""
+    path = new_work_dir(spark, "script")
+    emitted = code.rewrite_all(_bodies(spark, sf), cat.cat_views(spark, sf), TARGET_SCHEMA)
+    emitted = stage(emitted.select("target_type", "script"), new_work_dir(spark, "emitted-code"))
+    whole_script.write_whole_script(spark, table_specs(spark, sf), path, TARGET_SCHEMA, emitted)
+    return whole_script.read_script(spark, path).groupBy("section", "name").agg(F.count(F.lit(1)).alias("n_lines"))
