@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portage.llm.common import as_bytes, bitmap, gram_hashes, in_tasks, marked, signed, staged, table, texts, winnow, word_hashes
+from portage.llm.common import as_bytes, bitmap, gram_hashes, in_tasks, marked, staged, table, texts, winnow, word_hashes
+from portage.session import drop_dir, new_work_dir, stage
 
 #: Bits of the maps that keep what cannot repeat out of the shuffles: 8 MiB and 2 MiB at any size of the corpus.
 ANCHOR_BITS, DOC_BITS = 26, 24
 
-#: Occurrences up to which one automaton takes the passages of an anchor; beyond it passages and windows are hash keys.
+#: Different passages up to which one automaton takes those of an anchor; beyond it their windows are compared by 128-bit keys.
 SHARD_ROWS = 1000
 
 
@@ -117,28 +118,33 @@ def _anchors(docs: DataFrame, k: int, width: int) -> DataFrame:
     )
 
 
-def _passages(candidates: DataFrame, window: int, k: int) -> DataFrame:
-    """The passages of the candidate documents around their repeated anchors: ``anchor``, ``hot``, place and words.
+def _spread_out(words: list[bytes], window: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """Anchor, first word and length of every passage of a text: the union of the neighbouring windows that chose one anchor."""
+    grams = gram_hashes(word_hashes(words), k)
+    chosen = winnow(grams, window - k + 1)
+    if len(chosen):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1])
+        stops = np.concatenate([starts[1:], [len(chosen)]])
+        yield from zip(grams[chosen[starts]].view(np.int64).tolist(), starts.tolist(), (stops - starts + window - 1).tolist())
 
-    A passage is the union of the windows that chose one anchor.
-    """
+
+def _places(docs: DataFrame, known: np.ndarray, window: int, k: int) -> DataFrame:
+    """Where the passages of marked anchors are: ``anchor``, ``same`` (128 bits of their words), key, ``start``, ``size``."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             rows: list[tuple] = []
-            texts_, cold, hot = as_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for kid, kh, text, few, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_, cold, hot):
+            for kid, kh, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 words = text.split() if text else []
-                grams = gram_hashes(word_hashes(words), k)
-                chosen = winnow(grams, window - k + 1)
-                if not len(chosen):
-                    continue
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1])
-                stops = np.concatenate([starts[1:], [len(chosen)]])
-                few, many = set(few), set(many)
-                for lo, hi, h in zip(starts.tolist(), stops.tolist(), grams[chosen[starts]].view(np.int64).tolist()):
-                    if h in few or h in many:
-                        rows.append((h, h in many, kid, kh, lo, b" ".join(words[lo : hi - 1 + window])))
+                found = list(_spread_out(words, window, k))
+                stays = marked(shared.value, np.array([f[0] for f in found], dtype=np.int64).view(np.uint64))
+                for (anchor, start, size), stay in zip(found, stays.tolist()):
+                    if stay:
+                        same = xxhash.xxh3_128_digest(b" ".join(words[start : start + size]))
+                        rows.append((anchor, same, kid, kh, start, size))
                 if len(rows) > 20_000:
                     yield packed(rows)
                     rows = []
@@ -146,13 +152,51 @@ def _passages(candidates: DataFrame, window: int, k: int) -> DataFrame:
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "hot", "kid", "kh", "start", "words"]
+            [pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "same", "kid", "kh", "start", "size"]
         )
 
     return in_tasks(
-        candidates.select("kid", "kh", "text", "cold", "hot"), run,
+        texts(docs).select("kid", "kh", "text"), run, "anchor long, same binary, kid long, kh long, start int, size int"
+    )
+
+
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``kid, kh, text`` of the documents that ``keys`` may name: a bitmap of fixed size keeps others out of the shuffle that follows."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("kid", "kh").alias("h")), DOC_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = marked(wanted.value, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(stays)).columns[:3], ["kid", "kh", "text"])
+
+    rows = texts(docs).select("kid", "kh", "text", F.xxhash64("kid", "kh").alias("h"))
+    return in_tasks(rows, run, "kid long, kh long, text string")
+
+
+def _passages(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The words of the ``needed`` passages: ``anchor``, ``hot``, key, ``start`` and ``words``."""
+    by_doc = needed.groupBy("kid", "kh").agg(F.collect_list(F.struct("anchor", "hot", "start", "size")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            rows: list[tuple] = []
+            for kid, kh, text, asked in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist()
+            ):
+                words = text.split()
+                rows += [
+                    (x["anchor"], x["hot"], kid, kh, x["start"], b" ".join(words[x["start"] : x["start"] + x["size"]])) for x in asked
+                ]
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "hot", "kid", "kh", "start", "words"]
+            )
+
+    return in_tasks(
+        _texts_of(docs, needed).join(by_doc, ["kid", "kh"]), run,
         "anchor long, hot boolean, kid long, kh long, start int, words binary"
     )
 
@@ -195,37 +239,33 @@ def _matched(passages: DataFrame, window: int) -> DataFrame:
     return in_tasks(dealt.sortWithinPartitions("anchor", "kid", "kh", "start"), run, "kid long, kh long, from int, to int")
 
 
-def _hot_matched(passages: DataFrame, window: int) -> DataFrame:
-    """The same for the passages of hot anchors, by hash keys instead of one automaton each.
+def _repeats(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows (``anchor``, ``same``, ``place``, others) that an earlier row equals in ``anchor`` and ``same``.
 
-    All but the first of equal passages are repeated as a whole. Only the first ones are taken apart into windows, of
-    which again all but the first of equal ones are repeated.
+    The first places are a table of their own, so that a key most rows hold is split in the join.
     """
+    first = rows.groupBy("anchor", "same").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    first = staged(first.where("first <> last").drop("last"), purpose)
+    return rows.join(first, ["anchor", "same"]).where("place <> first")
 
-    def marked_first(rows: DataFrame) -> DataFrame:
-        first = rows.groupBy("anchor", "same").agg(F.min("place").alias("first"))
-        return rows.join(first, ["anchor", "same"])
-
-    def spans(rows: DataFrame, size: Column) -> DataFrame:
-        return rows.where("place <> first").select(
-            "place.kid", "place.kh", F.col("place.start").alias("from"), (F.col("place.start") + size).alias("to")
-        )
 
+def _hot_matched(passages: DataFrame, window: int) -> DataFrame:
+    """The same for anchors with very many different passages, by 128-bit keys of their windows instead of one automaton each."""
     words = F.split(F.col("words").cast("string"), " ")
-    whole = staged(marked_first(passages.select(
-        "anchor", F.xxhash64("words").alias("same"), F.struct("kid", "kh", "start").alias("place"), "words"
-    )).withColumn("words", words).withColumn("size", F.size("words")).withColumn(
-        "words", F.when(F.col("place") == F.col("first"), F.col("words"))
-    ), "hot-passages")
-    hashes = F.transform(F.sequence(F.lit(0), F.col("size") - window), lambda i: F.xxhash64(F.slice("words", i + 1, window)))
-    windows = whole.where("place = first").select("anchor", "place", F.posexplode(hashes).alias("i", "same")).select(
-        "anchor", "same", F.struct("place.kid", "place.kh", (F.col("place.start") + F.col("i")).alias("start")).alias("place")
+    whole = passages.select("anchor", "kid", "kh", "start", words.alias("words"))
+    keys = F.transform(F.sequence(F.lit(0), F.size("words") - window), lambda i: F.unhex(F.md5(
+        F.array_join(F.slice("words", i + 1, window), " ").cast("binary")
+    )))
+    windows = whole.select("anchor", "kid", "kh", "start", F.posexplode(keys).alias("i", "same")).select(
+        "anchor", "same", F.struct("kid", "kh", (F.col("start") + F.col("i")).alias("start")).alias("place")
+    )
+    return _repeats(windows, "hot-windows").select(
+        "place.kid", "place.kh", F.col("place.start").alias("from"), (F.col("place.start") + window).alias("to")
     )
-    return spans(whole, F.col("size")).unionByName(spans(marked_first(windows), F.lit(window)))
 
 
-def _kept(candidates: DataFrame, spans: DataFrame) -> DataFrame:
-    """The candidates that lose words: their key, ``n_removed``, the digest and the text of what is kept."""
+def _kept(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The documents that lose words: their key, ``n_removed``, the digest and the text of what is kept."""
     by_doc = spans.groupBy("kid", "kh").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +283,7 @@ def _kept(candidates: DataFrame, spans: DataFrame) -> DataFrame:
                 ["kid", "kh", "n_removed", "kept_sha256", "kept"],
             )
 
-    losing = candidates.select("kid", "kh", "text").join(by_doc, ["kid", "kh"]).dropDuplicates(["kid", "kh"])
+    losing = _texts_of(docs, spans).join(by_doc, ["kid", "kh"]).dropDuplicates(["kid", "kh"])
     return in_tasks(
         losing.select("kid", "kh", "text", "spans"), run, "kid long, kh long, n_removed long, kept_sha256 string, kept string"
     )
@@ -256,66 +296,44 @@ def repeated_text(docs: DataFrame, window: int = 20, k: int = 10) -> tuple[DataF
     that lose words, the key and the text that is left (``kept``, words joined by one space).
 
     Every window contains the winnowed ``k``-gram it chooses, and equal windows choose the same one: its anchor. Anchors
-    that occur once are dropped. The passages of the others are dealt to reference shards by anchor, where matching
-    statistics against the suffix automaton of the earlier passages give the repeated spans. Texts equal to that of a
-    smaller doc_id are repeated as a whole and build no passages.
+    that occur once are dropped. Of the passages around the others first only a digest moves: all but the first of those that are equal
+    in 128 bits are repeated as a whole. Of anchors with several different passages, the words of the first ones are dealt
+    to reference shards by anchor, where matching statistics against the suffix automaton of the earlier passages give the repeated
+    spans. Texts with all the words of an earlier one (by SHA-256) are repeated as a whole and build no passages.
 
     Documents are ordered by doc_id, null last, then by a hash of the text; rows that agree in both are one document.
     Null and empty texts have no words; a text of fewer than ``window`` words loses none.
     """
-    width = window - k + 1
-    base = staged(_anchors(docs, k, width), "anchors")
-
-    # Texts that a document with a smaller id has as well.
-    shared = base.groupBy("kh").agg(F.min("kid").alias("first"), F.max("kid").alias("last")).where("first < last")
+    spark, width = docs.sparkSession, window - k + 1
+    dirs = {part: new_work_dir(spark, f"substring-{part}") for part in ("anchors", "places", "first", "passages")}
+    prints = stage(_anchors(docs, k, width), dirs["anchors"])
+    base = staged(prints.drop("anchors"), "documents")
+
+    # Texts whose words are all those of an earlier one.
+    long = base.where(F.col("n_words") >= window).select("digest", F.struct("kid", "kh").alias("key"))
+    first = long.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
     copies = staged(
-        base.where(F.col("n_words") >= window).select("kid", "kh").distinct()
-        .join(shared.select("kh", "first"), "kh").where("kid > first").select("kid", "kh"), "copies",
-    )
-
-    anchors = base.select("kid", F.explode("anchors").alias("anchor"))
-    counted = staged(
-        anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > SHARD_ROWS).alias("is_hot")),
-        "repeated-anchors",
+        long.join(staged(first.drop("last"), "first-copies"), "digest").where("key <> first").select("key.*").distinct(), "copies"
     )
-    known = docs.sparkSession.sparkContext.broadcast(bitmap(counted.select("anchor"), ANCHOR_BITS))
-
-    def maybe_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(1)
-            hashes = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            stays = marked(known.value, hashes)
-            owner = np.repeat(batch.column(0).to_numpy(), held.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(owner[stays]), pa.array(hashes[stays].view(np.int64))], ["kid", "anchor"])
-
-    of_doc = (
-        in_tasks(base.where(F.size("anchors") > 0).select("kid", "anchors"), maybe_repeated, "kid long, anchor long")
-        .distinct().join(counted, "anchor").groupBy("kid").agg(
-            F.collect_list(F.when(~F.col("is_hot"), F.col("anchor"))).alias("cold"),
-            F.collect_list(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"),
-        )
-    )
-    of_doc = staged(of_doc, "repeated-by-document")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(of_doc.select(F.xxhash64("kid")), DOC_BITS))
-
-    def maybe_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(3).to_numpy().view(np.uint64)
-            stays = batch.filter(pa.array(marked(wanted.value, hashes)))
-            yield pa.RecordBatch.from_arrays(stays.columns[:3], ["kid", "kh", "text"])
 
-    near = in_tasks(
-        texts(docs).select("kid", "kh", "text", F.xxhash64("kid").alias("place")), maybe_wanted, "kid long, kh long, text string"
+    anchors = prints.join(copies, ["kid", "kh"], "left_anti").select(F.explode("anchors").alias("anchor"))
+    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    found = _places(docs, bitmap(repeated, ANCHOR_BITS), window, k).join(copies, ["kid", "kh"], "left_anti")
+    places = stage(found.select("anchor", "same", F.struct("kid", "kh", "start").alias("place"), "size"), dirs["places"])
+    firsts = stage(places.groupBy("anchor", "same").agg(F.min("place").alias("place"), F.first("size").alias("size")), dirs["first"])
+    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    needed = firsts.join(several.select("anchor", (F.col("n") > SHARD_ROWS).alias("hot")), "anchor").select(
+        "anchor", "hot", "place.kid", "place.kh", "place.start", "size"
     )
-    whole = copies.groupBy("kid").agg(F.collect_set("kh").alias("copied"))
-    of_doc = of_doc.join(whole, "kid", "left")
-    candidates = staged(
-        near.join(of_doc, "kid")
-        .where(~F.coalesce(F.array_contains("copied", F.col("kh")), F.lit(False))).drop("copied"), "candidates",
+    passages = stage(_passages(docs, needed), dirs["passages"])
+    whole = _repeats(places, "repeated-passages").select(
+        "place.kid", "place.kh", F.col("place.start").alias("from"), (F.col("place.start") + F.col("size")).alias("to")
     )
-    passages = staged(_passages(candidates, window, k), "passages")
-    spans = _matched(passages.where("not hot"), window).unionByName(_hot_matched(passages.where("hot"), window))
-    changed = staged(_kept(candidates, spans), "kept")
+    spans = whole.unionByName(_matched(passages.where("not hot"), window)).unionByName(_hot_matched(passages.where("hot"), window))
+    spans = staged(spans, "spans")
+    changed = staged(_kept(docs, spans), "kept")
+    for path in dirs.values():
+        drop_dir(spark, path)
 
     nothing = F.sha2(F.lit(""), 256)
     lost = changed.select("kid", "kh", "n_removed", "kept_sha256").unionByName(

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF
+from pyspark.sql import functions as F
 
 from portage.llm import bpe, decontaminate, langid, simhash, substring
 from portage.llm.common import components, gram_hashes, winnow, word_hashes
@@ -243,6 +244,18 @@ def test_repeats_of_odd_rows(spark):
     assert substring.repeated_text(odd(spark).limit(0))[0].count() == 0
 
 
+def test_documents_without_id_are_told_apart(spark, as_rows):
+    draw = random.Random(29)
+    shared = [" ".join(f"s{draw.randrange(99)}" for _ in range(12)) for _ in range(4)]
+    texts = [f"{draw.choice(shared)} u{i} {draw.choice(shared)} v{i}" for i in range(60)] + [shared[0], shared[0], f"  {shared[0]}"]
+    docs = spark.createDataFrame([(None, t, "en", "x", "y", "z", 1) for t in texts], DOCS)
+    report, _ = substring.repeated_text(docs, window=8, k=4)
+    order = docs.select("text", F.xxhash64(F.col("text"), F.length("text")).alias("kh")).collect()
+    ranked = sorted({(r.kh, r.text) for r in order})
+    plain = {kh: row[1:] for (kh, _), row in zip(ranked, plain_repeats([(None, t) for _, t in ranked], 8))}
+    assert as_rows(report, "kh", "n_words", "n_removed", "kept_sha256") == sorted(((r.kh, *plain[r.kh]) for r in order), key=repr)
+
+
 def test_suffix_automaton_gives_longest_matches():
     draw = random.Random(23)
     for _ in range(100):
