@@ -378,11 +378,11 @@ def extract_referential(spark, sf):
 
 
 def _closed(spark, sf):
-    """Customers who keep their account, orders that follow other orders, and customers who name one of their orders."""
+    """Customers above a balance; every sixteenth order follows another one, and every fiftieth customer names one of theirs."""
     orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(
-        F.col("o_orderkey") > 3, F.floor(F.col("o_orderkey") / 4)
+        (F.col("o_orderkey") > 3) & (F.col("o_orderkey") % 16 == 0), F.floor(F.col("o_orderkey") / 4)
     ).alias("o_follows"))
-    named = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("c_order"))
+    named = orders.where("o_custkey % 50 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("c_order"))
     customer = _filtered(spark, sf, "customer", ColumnFilter("c_acctbal", ">", -900)).select("c_custkey", "c_acctbal")
     customer = customer.join(named.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
     lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")

@@ -324,8 +324,9 @@ _TARGET_TYPE = f"""CASE {_TYPE_BASE} WHEN 'NUMBER' THEN 'NUMERIC' WHEN 'VARCHAR2
 ELSE {_TYPE_BASE} END || regexp_extract(data_type, '\\(.*\\)$', 0)"""
 
 _CLOSED = """WITH RECURSIVE o AS (
-          SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey > 3 THEN o_orderkey // 4 END AS o_follows FROM orders),
-        c AS (SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS c_order FROM customer WHERE c_acctbal > -900),
+          SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey > 3 AND o_orderkey % 16 = 0 THEN o_orderkey // 4 END AS o_follows FROM orders),
+        c AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) END AS c_order
+          FROM customer WHERE c_acctbal > -900),
         refs AS (
           SELECT 'orders' AS t, o_orderkey AS k, 'customer' AS pt, o_custkey AS pk, 'orders(o_custkey) -> customer(c_custkey)' AS fk FROM o
           UNION ALL SELECT 'orders', o_orderkey, 'orders', o_follows, 'orders(o_follows) -> orders(o_orderkey)' FROM o WHERE o_follows IS NOT NULL
