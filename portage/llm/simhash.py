@@ -7,20 +7,35 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portage.llm.common import as_bytes, components, gram_hashes, in_tasks, signed, staged, table, texts, word_hashes
+from portage.llm.common import (
+    as_bytes, bitmap, components, gram_hashes, in_tasks, marked, signed, staged, table, texts, word_hashes,
+)
+from portage.session import drop_dir, new_work_dir, stage
 
 #: Rows of a bucket that one task compares with each other; larger buckets are cut into pieces and every two pieces meet.
 PIECE = 4096
 
 #: For copies by Jaccard similarity: fingerprints of a document, parts of each, and how many of them make a key.
-SEEDS, PARTS, EQUAL_PARTS = 10, 6, 2
+SEEDS, PARTS, EQUAL_PARTS = 8, 6, 2
 
-#: Pairs that go on to the comparison of shingles differ in at most so many of 64 bits, and in this share of all seeds' bits.
-#: Sets of similarity 0.8 differ in 15 % of the bits (19 % if they are very small), unrelated ones in 50 %.
-NEAR_BITS, NEAR_SHARE = 14, 0.26
+#: Fingerprints that meet are near if they and those of the next seed differ in so many of their 128 bits together. Sets of
+#: similarity 0.8 differ in 15 % of the bits (19 % if they are very small), unrelated ones in 50 %.
+NEAR_BITS = 30
+
+#: Sets are compared if their fingerprints of all seeds differ in at most this share of their bits.
+NEAR_SHARE = 0.26
+
+#: One in so many documents is counted to find large buckets. Bytes of shingles of a piece of a family.
+SAMPLED, PIECE_BYTES = 16, 16 << 20
+
+#: Large buckets up to which their names, of 12 bytes each, are broadcast; beyond it they are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+#: Bits of the map that keeps texts without near ones out of the shuffle: 2 MiB.
+MAP_BITS = 24
 
 
 def simhash(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -171,67 +186,175 @@ def wide_simhash(hashes: np.ndarray, seeds: int = SEEDS) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")
 
 
-def _stars(node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node with the smallest one that it is near to and that is near to no smaller centre."""
-    left, ends, centres = np.argsort(node, kind="stable"), [], []
+def _split(rows: DataFrame, by: list[str], pieces: Column) -> DataFrame:
+    """``rows`` dealt by ``by``; those of a group of several ``pieces`` once for every other piece, so that every two meet."""
+    own = F.pmod(F.xxhash64(F.lit("piece"), "node"), pieces).cast("int")
+    met = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), pieces - 1))})
+    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("own", "other")
+    return met.repartition(*by, "lo", "hi").sortWithinPartitions(*by, "lo", "hi")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group, one at a time; rows come sorted by the first ``keys`` columns, which are whole numbers."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
+        cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        if held and (names[:, 0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = names[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many bits each row of ``prints`` differs from ``one``."""
+    return np.bitwise_count((prints ^ one).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def _met(node: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
+    """Links to the smallest one of the nodes that near fingerprints connect; at most one less than there are nodes.
+
+    In a large family the smallest of many buckets is the same, and so are the links.
+    """
+    found, left = [], np.argsort(node)[::-1]
+    while len(left) > 1:
+        least, todo, left = left[-1], [left[-1]], left[:-1]
+        while todo and len(left):
+            one = todo.pop()
+            near = _apart(prints[left], prints[one]) <= NEAR_BITS
+            hits = left[near]
+            if len(hits):
+                found += [(int(node[least]), int(node[x])) for x in hits]
+                todo += hits.tolist()
+                left = left[~near]
+    return found
+
+
+def _similar(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join the nodes whose sets have a Jaccard similarity of ``least`` or more, each of them compared.
+
+    Sets whose fingerprints are too far apart, or whose sizes alone rule it out, are not compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    bits = int(NEAR_SHARE * 64 * prints.shape[1])
+    found, left = [], np.arange(len(node))
     while len(left) > 1:
-        near = np.bitwise_count((fp[left] ^ fp[left[0]]).view(np.uint64)) <= NEAR_BITS
-        hits = left[near][1:]
-        ends.append(node[hits])
-        centres.append(np.full(len(hits), node[left[0]]))
-        left = left[~near]
-    return (np.concatenate(ends), np.concatenate(centres)) if ends else (node[:0], node[:0])
-
-
-def _bridges(node: np.ndarray, fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All near pairs of nodes with different roots."""
-    roots, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    ends, others = [node[:0]], [node[:0]]
-    if len(roots) > 1:
-        major = int(sizes.argmax())
-        for i in np.flatnonzero(which != major).tolist():
-            near = (np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= NEAR_BITS) & (which != which[i])
-            near &= (which == major) | (node > node[i])
-            ends.append(np.full(near.sum(), node[i]))
-            others.append(node[near])
-    return np.concatenate(ends), np.concatenate(others)
-
-
-def _paired(met: DataFrame, pairs) -> DataFrame:
-    """What ``pairs`` finds in each bucket of ``met``: distinct pairs ``a`` < ``b``. Rows are key, lo, hi, node and others."""
-    width = len(met.columns)
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            one = todo.pop()
+            small, large = np.minimum(sizes[left], sizes[one]), np.maximum(sizes[left], sizes[one])
+            asked = left[(small >= least * large) & (_apart(prints[left], prints[one]) <= bits)]
+            if not len(asked):
+                continue
+            members, whole = np.concatenate([sets[x] for x in asked]), sets[one]
+            at = np.minimum(np.searchsorted(whole, members), len(whole) - 1) if len(whole) else np.zeros(0, np.int64)
+            ends = np.cumsum(sizes[asked])
+            running = np.concatenate([[0], np.cumsum(whole[at] == members if len(whole) else members == 0)])
+            common = running[ends] - running[ends - sizes[asked]]
+            together = sizes[asked] + sizes[one] - common
+            hits = asked[common >= least * together]
+            if len(hits):
+                found += [(int(node[one]), int(node[x])) for x in hits]
+                todo += hits.tolist()
+                left = np.setdiff1d(left, hits, assume_unique=True)
+    return found
+
+
+class _Joined:
+    """The nodes that the links of a task connect, each with the smallest of its part: what a task hands on of all its links."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        above = self.above
+        while (up := above.setdefault(node, node)) != node:
+            above[node] = node = above[up]
+        return node
+
+    def add(self, links: list[tuple[int, int]]) -> None:
+        for a, b in links:
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.above[max(a, b)] = min(a, b)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        nodes = list(self.above)
+        for at in range(0, len(nodes), 100_000):
+            piece = nodes[at : at + 100_000]
+            pairs = [(r, n) for n in piece if (r := self.root(n)) != n]
+            columns = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], ["a", "b"])
+
+
+def _families(nodes: DataFrame) -> DataFrame:
+    """Links between nodes of fingerprints that are near by two seeds, met where they agree in blocks of one of them.
+
+    A bucket writes a spanning forest, not its pairs. Buckets that a sample shows to be large are cut into pieces.
+    """
+    masks = block_masks(PARTS - EQUAL_PARTS, PARTS)
+    seeds = F.posexplode(F.transform("fps", lambda fp, i: F.struct(fp.alias("fp"), F.get("fps", (i + 1) % SEEDS).alias("check"))))
+    prints = nodes.select("node", seeds.alias("seed", "two")).select("node", "seed", "two.fp", "two.check")
+
+    def keyed(prints: DataFrame) -> DataFrame:
+        return prints.select("node", "fp", "check", F.explode(F.array(*[
+            F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)
+        ])).alias("key"))
+
+    sample = keyed(prints.where(F.pmod("node", F.lit(SAMPLED)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    large = staged(
+        sample.where(F.col("n") > PIECE).select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "simhash-large"
+    )
+    rows, n_large = keyed(prints), large.count()
+    if n_large:
+        rows = rows.join(F.broadcast(large) if n_large <= MOST_BROADCAST else large, "key", "left")
+        met = _split(rows, ["key"], F.coalesce("pieces", F.lit(1))).select("key", "lo", "hi", "node", "fp", "check")
+    else:
+        met = rows.repartition("key").sortWithinPartitions("key").select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "fp", "check")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((width, 0), dtype=np.int64)
+        held, joined = np.empty((6, 0), dtype=np.int64), _Joined()
+
+        def linked(rows: np.ndarray, edges: np.ndarray) -> None:
+            # Nearly all buckets have one row.
+            for at in np.flatnonzero(np.diff(edges) > 1).tolist():
+                here = rows[3:, edges[at] : edges[at + 1]]
+                joined.add(_met(here[0], here[1:].T))
+
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(width)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
             rows = np.concatenate([held, rows], axis=1)
             cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-            yield from written(rows, [0, *cuts.tolist()])
+            linked(rows, np.concatenate([[0], cuts]))
             held = rows[:, cuts[-1] if len(cuts) else 0 :]
-        if held.shape[1]:
-            yield from written(held, [0, held.shape[1]])
-
-    def written(rows: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [pairs(*rows[3:, lo:hi]) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
-        if found:
-            one, other = (np.concatenate(x) for x in zip(*found))
-            both = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        linked(held, np.array([0, held.shape[1]]))
+        yield from joined.batches()
 
-    dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return in_tasks(dealt, run, "a long, b long").distinct()
+    return in_tasks(met, run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """One row (``kid``, ``kh``, ``root``) per row of ``docs``; documents linked by copies have the same ``root``.
 
-    A link is a pair whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more: every pair
-    that is joined was compared shingle by shingle. Pairs are met where fingerprints of some seed agree in
-    ``EQUAL_PARTS`` of their ``PARTS`` blocks, so a pair at the very threshold may be overlooked with a small probability.
-    Each document is first compared with one centre of its buckets; then all pairs of different components are. Texts
-    with the same shingles, and all texts without a word, are one document here.
+    A link is a pair whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more. Fingerprints that agree
+    in ``EQUAL_PARTS`` of their ``PARTS`` blocks for some seed meet, and those that are near are linked to families; within
+    a family all sets are compared, so a pair is overlooked only if its family is, which at the very threshold has a
+    small probability. Families come to their tasks by pieces of ``PIECE_BYTES`` of shingles, every two of which meet, and leave as
+    the parts they fall into: no pairs are written. Shingles are compared by 32 bits of their hashes, which takes one in about
+    four billion different ones for the same. Texts with the same shingles, and all texts without a word, are one document.
     """
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -241,59 +364,49 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
             nodes = [signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets]
             prints = np.concatenate([wide_simhash(s) for s in sets]) if sets else np.empty(0, np.int64)
             wide = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SEEDS, pa.array(prints, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), wide], ["kid", "kh", "node", "fps"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, size).view(np.int64) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "held"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), sizes, wide], ["kid", "kh", "node", "n", "fps"])
 
     rows = texts(docs).select("kid", "kh", "text")
-    found = staged(in_tasks(rows, run, "kid long, kh long, node long, fps array<long>"), "simhash")
+    found = staged(in_tasks(rows, run, "kid long, kh long, node long, n long, fps array<long>"), "simhash")
+    nodes_dir, asked_dir = new_work_dir(spark, "simhash-distinct"), new_work_dir(spark, "simhash-asked")
     first = F.min(F.struct("kid", "kh")).alias("first")
-    nodes = staged(found.groupBy("node").agg(first, F.min("fps").alias("fps")), "simhash-distinct")
-
-    masks = block_masks(PARTS - EQUAL_PARTS, PARTS)
-    prints = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    keys = prints.select("node", "fp", F.explode(F.array(*[
-        F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)
-    ])).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    met = staged(
-        keys.join(shared, "key")
-        .select("key", "node", "fp", pieces.alias("pieces"), F.pmod(F.xxhash64(F.lit("piece"), "node"), pieces).cast("int").alias("own"))
-        .select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp"),
-        "simhash-buckets",
-    )
+    nodes = stage(found.groupBy("node").agg(first, F.min("n").alias("n"), F.min("fps").alias("fps")), nodes_dir)
+    families = components(_families(nodes)).select("node", F.col("root").alias("family"))
+    members = nodes.join(families, "node")
+    # Together the members of a family may have any number of shingles.
+    shares = members.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 4 / PIECE_BYTES)).cast("int").alias("pieces"))
+    asked = stage(members.join(shares, "family").select("first.kid", "first.kh", "node", "fps", "family", "pieces"), asked_dir)
+    wanted = spark.sparkContext.broadcast(bitmap(asked.select(F.xxhash64("kid", "kh").alias("h")), MAP_BITS))
 
-    def copies(pairs: DataFrame) -> DataFrame:
-        """The pairs whose texts are similar enough."""
-        fps = nodes.select("node", "fps")
-        apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(SEEDS)), F.lit(0))
-        near = staged(
-            pairs.join(fps.select(F.col("node").alias("a"), F.col("fps").alias("x")), "a")
-            .join(fps.select(F.col("node").alias("b"), F.col("fps").alias("y")), "b")
-            .where(apart <= int(NEAR_SHARE * 64 * SEEDS)).select("a", "b"),
-            "simhash-near",
-        )
-        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        asked = nodes.join(asked, "node").select("first.kid", "first.kh", "node")
-        whole = rows.join(asked, ["kid", "kh"]).select("node", "text")
-        held = staged(in_tasks(whole, sets_of, "node long, held array<long>").dropDuplicates(["node"]), "shingles")
-        both = near.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(
-            held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b"
-        )
-        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
-        return staged(common.where(F.col("n") / (F.col("sum") - F.col("n")) >= least).select("a", "b"), "copies")
-
-    # A centre is the smallest of its bucket: each node goes on with one of them.
-    centred = copies(_paired(met, _stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    roots = components(centred).select("node", "root")
-    judged = met.join(roots, "node", "left").select("key", "lo", "hi", "node", "fp", F.coalesce("root", "node").alias("root"))
-    crossing = copies(_paired(judged, _bridges))
-    roots = components(centred.unionByName(crossing)).select("node", "root")
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows of a task go on once
+        for batch in batches:
+            there = marked(wanted.value, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+            for at, key in zip(np.flatnonzero(there).tolist(), zip(*(batch.column(i).filter(pa.array(there)).to_pylist() for i in (0, 1)))):
+                there[at] = key not in seen
+                seen.add(key)
+            batch = batch.filter(pa.array(there))
+            # Half of each hash is enough to count what two texts have in common.
+            sets = [np.unique((shingles(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int32()))], ["kid", "kh", "held"])
+
+    held = in_tasks(rows.select("kid", "kh", "text", F.xxhash64("kid", "kh").alias("h")), sets_of, "kid long, kh long, held array<int>")
+    met = _split(held.join(asked, ["kid", "kh"]), ["family"], F.col("pieces")).select("family", "lo", "hi", "node", "fps", "held")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = _Joined()
+        for group in _grouped(batches, 3):
+            if group.num_rows > 1:
+                node, place = np.unique(group.column(3).to_numpy(), return_index=True)
+                group = group.take(place)
+                prints = np.stack([x.values.to_numpy() for x in group.column(4)])
+                joined.add(_similar(node, prints, [x.values.to_numpy().view(np.uint32) for x in group.column(5)], least))
+        yield from joined.batches()
+
+    roots = components(in_tasks(met, verified, "a long, b long").distinct()).select("node", "root")
+    for path in (nodes_dir, asked_dir):
+        drop_dir(spark, path)
     return found.select("kid", "kh", "node").join(roots, "node", "left").select("kid", "kh", F.coalesce("root", "node").alias("root"))
 
 

@@ -51,6 +51,8 @@ def test_planted_copies_are_linked_from_the_threshold_on(spark):
 
 def test_components_hold_pairs_that_no_centre_links(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 7)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "PIECE_BYTES", 10_000)
     draw = random.Random(67)
     texts, words = [], [f"w{i}" for i in range(200)]
     for step in range(40):  # a drifting text: neighbours are copies, the ends are not
