@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import io
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -51,10 +53,35 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def in_tasks(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package at hand in the workers."""
+#: What the modules of this process keep from one task to the next, and how it is let go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, let_go: Callable[[], None]) -> None:
+    """Tell that a module keeps something in the workers. It lasts while tasks with that ``cache`` run."""
+    _KEPT[name] = let_go
+
+
+def _trim() -> None:
+    """Give freed memory back: a worker lives on through many stages, and what it holds counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_tasks(df: DataFrame, function, schema, cache: str = "") -> DataFrame:
+    """``df.mapInArrow``, with this package at hand in the workers. What other modules keep there is let go, but for ``cache``."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, let_go in _KEPT.items():
+            if name != cache:
+                let_go()
+        _trim()
+        yield from function(batches)
+        _trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

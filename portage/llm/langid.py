@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portage.llm.common import in_tasks, table
+from portage.llm.common import in_tasks, keeps, table
+
+#: A word's language is sure from this probability on.
+SURE = 0.5
 
 #: Words are runs of letters (digits and underscores end one). A longer run, as in scripts without spaces, is as many words
 #: of this length as it holds and the rest.
@@ -230,32 +233,38 @@ class Labeller:
         at = self._look_up(words)
         lettered = at >= 0
         held = np.bincount(np.repeat(np.arange(len(texts)), counts)[lettered], minlength=len(texts))
-        out = np.zeros((len(texts), len(self.model.labels)))
+        out, sure = np.zeros((len(texts), len(self.model.labels))), np.zeros(len(texts))
         spoken = held > 0
         if spoken.any():
             posterior = forward_backward(self.table[at[lettered]], held[spoken], self.model.moves, self.model.start)
             starts = (np.cumsum(held) - held)[spoken]
             out[spoken] = np.add.reduceat(posterior, starts, axis=0, dtype=np.float64) / held[spoken][:, None]
-        return out
+            sure[spoken] = np.add.reduceat(posterior.max(axis=1) >= SURE, starts, dtype=np.float64) / held[spoken]
+        return out, sure
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language that holds most of each text's words, and its share.
+        """The language that holds most of each text's words, and its share."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The language that holds most of each text's words, its share, and the share of words of which the language is sure.
 
         Texts of like length go together, in pieces of bounded size.
         """
         sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
         order = np.argsort(sizes, kind="stable")
         piece = np.cumsum(sizes[order]) // PIECE_CHARS
-        found = np.zeros((len(texts), len(self.model.labels)))
+        found, sure = np.zeros((len(texts), len(self.model.labels))), np.zeros(len(texts))
         for part in np.split(order, np.flatnonzero(np.diff(piece)) + 1) if len(texts) else []:
-            found[part] = self.shares([texts[i] for i in part.tolist()])
+            found[part], sure[part] = self.shares([texts[i] for i in part.tolist()])
         best, spoken = found.argmax(axis=1), found.sum(axis=1) > 0
         names = [self.model.labels[i] if s else UNKNOWN for i, s in zip(best.tolist(), spoken.tolist())]
-        return names, np.minimum(found[np.arange(len(texts)), best], 1.0).tolist()
+        return names, np.minimum(found[np.arange(len(texts)), best], 1.0).tolist(), sure.tolist()
 
 
 #: The labeller of this process: it keeps the words it has met from one task to the next, and gives way to the next model's.
 _LABELLER: list[Labeller] = []
+keeps("langid", _LABELLER.clear)
 
 
 def labeller_of(model: ChainModel) -> Labeller:
@@ -296,8 +305,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> ChainMode
 def identify(docs: DataFrame, model: ChainModel | None, keep=None) -> DataFrame:
     """``docs`` with the language the chain finds in each whole text.
 
-    With ``keep``, a function of language and score, the rows of ``docs`` it accepts, unchanged; without, the columns
-    ``doc_id``, ``held_out``, ``lang_pred`` and ``score``. A null text or one without letters is ``und`` with score
+    With ``keep``, a function of language, score and the share of words whose language is sure, whichever it is, the rows
+    of ``docs`` it accepts, unchanged; without, the columns ``doc_id``, ``held_out``, ``lang_pred`` and ``score``. A null text or one without letters is ``und`` with score
     zero, and so is all text if there was nothing to learn from. Repeated rows get equal results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -307,21 +316,21 @@ def identify(docs: DataFrame, model: ChainModel | None, keep=None) -> DataFrame:
         labeller = labeller_of(shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            yield batch, *(labeller.label(texts) if labeller else ([UNKNOWN] * len(texts), [0.0] * len(texts)))
+            yield batch, *(labeller.judged(texts) if labeller else ([UNKNOWN] * len(texts), *[[0.0] * len(texts)] * 2))
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in labelled(batches, 2):
+        for batch, names, scores, _ in labelled(batches, 2):
             columns = [*batch.columns[:2], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in labelled(batches, place):
-            yield batch.filter(pa.array([keep(*x) for x in zip(names, scores)], pa.bool_()))
+        for batch, *found in labelled(batches, place):
+            yield batch.filter(pa.array([keep(*x) for x in zip(*found)], pa.bool_()))
 
     if keep:
-        return in_tasks(docs, accepted, docs.schema)
+        return in_tasks(docs, accepted, docs.schema, "langid")
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return in_tasks(wanted, report, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_tasks(wanted, report, "doc_id long, held_out boolean, lang_pred string, score double", "langid")
 
 
 def op6_language_id(spark, sf_dir):

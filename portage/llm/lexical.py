@@ -19,6 +19,9 @@ from portage.llm.decontaminate import split_words
 #: Rows of a slice that a term marks, and bits a signature has for each of them: about 1 in 100 absent terms looks present.
 ROWS, BITS_PER_MARK = 7, 1.5
 
+#: Documents whose terms are in memory at once.
+SLICE = 2048
+
 #: Bits of a block of signatures, and the most rows of one; a text with more terms than fit has a looser bound, no other result.
 BLOCK_BITS, MOST_ROWS = 1 << 22, 1 << 24
 
@@ -150,7 +153,7 @@ def _scan(docs: DataFrame, terms: dict[bytes, int], index: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shared.value, np.zeros(len(shared.value) + 2, dtype=np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             found, lengths = [], []
             for body in as_bytes(batch.column(2)):
                 words = split_words(body)
