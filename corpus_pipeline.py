@@ -15,8 +15,8 @@ from portage.llm.langid import UNKNOWN, identify, train
 from portage.llm.simhash import near_copies
 from portage.llm.substring import repeated_text
 
-#: A document stays if some language holds at least this share of its words.
-LEAST_SHARE = 0.35
+#: A document stays if so many of its words belong to a known language for sure, whichever each of them belongs to.
+LEAST_SURE = 0.5
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: rejects texts without a letter and those no language holds a share of."""
-    return identify(docs, train(docs), keep=lambda name, share: name != UNKNOWN and share >= LEAST_SHARE)
+    """Documents in known languages, one or several: rejects texts without a letter and those whose words are mostly of no sure language."""
+    return identify(docs, train(docs), keep=lambda name, share, sure: name != UNKNOWN and sure >= LEAST_SURE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, Jaccard similarity 0.8 or more): the one with the
-    smallest doc_id, null last; of several rows with that id the one with the smallest text hash, once."""
+    smallest doc_id, null last; of several rows with that id the one with the smallest text hash, once. Of rows that agree
+    in id and text the smallest by all columns stays; rows without id are documents like others."""
     found = staged(near_copies(docs), "near-duplicates")
     chosen = found.groupBy("root").agg(F.min(F.struct("kid", "kh")).alias("chosen"))
     judged = found.join(chosen, "root").select("kid", "kh", (F.struct("kid", "kh") == F.col("chosen")).alias("stays"))
@@ -44,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = staged(judged.where("stays").groupBy("kid", "kh").count().where("count > 1").select("kid", "kh"), "repeated")
     if repeated.isEmpty():
         return kept.select("row.*")
-    once = kept.join(repeated, ["kid", "kh"], "left_semi").dropDuplicates(["kid", "kh"])
-    return kept.join(repeated, ["kid", "kh"], "left_anti").unionByName(once).select("row.*")
+    once = kept.join(repeated, ["kid", "kh"], "left_semi").groupBy("kid", "kh").agg(F.min("row").alias("row"))
+    return kept.join(repeated, ["kid", "kh"], "left_anti").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ STAGES = [
     ("decontamination", decontamination), ("BPE", tokens),
 ]
 
-#: Language ID and SimHash are beyond SQL; the tests hold the stages against brute force.
+#: Language ID and SimHash are beyond SQL; the tests hold all that follows language ID against plain Python, row by row.
 ORACLE_SQL = None
 
 
