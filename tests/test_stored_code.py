@@ -253,3 +253,23 @@ def test_callers_of_what_is_set_aside_are_blocked(spark):
     found = {(r.owner, r.name): (r.blocked_by, r.reason) for r in code.blocked_by_calls(bodies, views, "app").collect()}
     root = ("APP.bad.procedure", "unsupported")
     assert found == {("APP", n): root for n in ("one", "two", "ring", "ring2", "kept")}
+
+
+def test_texts_are_not_read_again_for_plain_names(spark):
+    """Names of one or two words are found exactly, repeated, glued and unmatched ones too; equals brute force."""
+    texts = [
+        ("t1", "call part_12(app.emp); xapp.employee"), ("t2", "app..emp part_1"), ("t3", ""), ("t4", "app emp " * 300 + "longword" + "y" * 80),
+        ("t4", "second row with seq_7"), ("t5", ".app.emp."), ("t6", "ünï.cödé_1 emp"),
+    ]
+    names = [
+        ("n1", "part_1"), ("n2", "app.emp"), ("n3", "emp"), ("n4", "app emp"), ("n5", "y" * 70), ("n6", ".emp"), ("n7", "emp."), ("n8", "cödé"),
+        ("n9", "ï.cö"), ("n3", "seq_7"), ("n10", "."), ("n11", "missing"), ("n12", " "), ("n13", "longwordyy"),
+    ]
+    docs = spark.createDataFrame(texts, "tid string, body string")
+    asked = spark.createDataFrame(names, "nid string, needle string")
+    expected = {(n, t) for t, body in texts for n, needle in names if needle.strip() and needle in body}
+    found = [tuple(r) for r in contains_join(docs, asked, "tid", "body", "nid", "needle").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    plain = asked.where("nid IN ('n1', 'n2', 'n3')")
+    plan = contains_join(docs, plain, "tid", "body", "nid", "needle")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(text" not in plan
