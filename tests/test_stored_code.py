@@ -255,6 +255,15 @@ def test_callers_of_what_is_set_aside_are_blocked(spark):
     assert found == {("APP", n): root for n in ("one", "two", "ring", "ring2", "kept")}
 
 
+def test_judging_moves_no_code(spark):
+    """Only keys and verdicts meet the objects that read system views."""
+    bodies = spark.createDataFrame([("A", "f", "FUNCTION", "FUNCTION f IS BEGIN NULL; END;")], "owner string, name string, type string, body string")
+    views = spark.createDataFrame([("SYS", "V", "SELECT 1")], "owner string, view_name string, text string")
+    plan = code.triage(bodies, views, "app")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Join LeftOuter")]
+    assert "_left" not in joined and "_code" not in joined and "body" not in joined
+
+
 def test_texts_are_not_read_again_for_plain_names(spark):
     """Names of one or two words are found exactly, repeated, glued and unmatched ones too; equals brute force."""
     texts = [
