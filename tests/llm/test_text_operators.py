@@ -418,3 +418,19 @@ def test_language_of_odd_rows(spark, chain):
     assert langid.identify(odd(spark).limit(0), chain).count() == 0
     assert langid.train(odd(spark)) is None
     assert {r.lang_pred for r in langid.identify(odd(spark), None).collect()} == {"und"}
+
+
+def test_long_runs_of_one_word_cost_a_few_encodings():
+    """Cut and repaired runs have the ids of the whole, at any length, and a run that is one word is not encoded part by part."""
+    import random
+
+    coder = bpe.ChunkCoder(bpe.vocabulary())
+    draw = random.Random(5)
+    for n in (100, 127, 128, 300, 2048, 2049, 5000):
+        for letters in ("aeiounrst", "a.b,1;", "\u03a3\u03c3a", "e\u0301\u0327a"):
+            run = "".join(draw.choices(letters, k=n))
+            assert list(np.frombuffer(coder.packed(run)[1], dtype=np.int32)) == coder.ids(run)
+    run, plain, read = "".join(draw.choices("aeiounrst", k=20_000)), coder.ids, []
+    coder.ids = lambda text: read.append(len(text)) or plain(text)
+    assert [i for ids in coder.repaired(bpe.cut_run(run, coder.special)) for i in ids] == plain(run)
+    assert sum(read) < 8 * len(run)
