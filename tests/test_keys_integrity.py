@@ -198,3 +198,28 @@ def test_no_operator_joins_without_keys(spark, catalog):
         keys.pk_columns(*catalog),
     )):
         assert "NestedLoop" not in plan_of(df) and "Cartesian" not in plan_of(df)
+
+
+def test_foreign_keys_are_gathered_before_they_meet(spark):
+    """Nothing is grouped behind the join with the keys referred to."""
+    constraints = spark.createDataFrame(
+        [("A", "PK1", "T1", "P", None, None, None), ("A", "FK1", "T2", "R", "A", "PK1", "CASCADE"), ("A", "FK1", "T2", "R", "A", "PK1", "CASCADE"),
+         ("A", "FK2", "T2", "R", "A", "GONE", "CASCADE")],
+        "owner string, constraint_name string, table_name string, constraint_type string, r_owner string, r_constraint_name string, delete_rule string",
+    )
+    columns = spark.createDataFrame(
+        [("A", "PK1", "T1", "K2", 2), ("A", "PK1", "T1", "K1", 1), ("A", "FK1", "T2", "B", 2), ("A", "FK1", "T2", "A", 1), ("A", "FK1", "T2", "A", 1),
+         ("A", "FK1", "T2", "C", 3), ("A", "FK2", "T2", "D", 1)],
+        "owner string, constraint_name string, table_name string, column_name string, position int",
+    )
+    found = keys.fk_grouped(constraints, columns)
+    assert [tuple(r) for r in found.collect()] == [("A", "T2", "FK1", "A", "T1", "CASCADE", ["A", "B"], ["K1", "K2"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
+def test_staged_tables_are_zstd(spark, tmp_path):
+    from portage.session import stage
+
+    stage(spark.range(3), str(tmp_path / "t"))
+    assert list((tmp_path / "t").glob("*.zstd.parquet"))
