@@ -282,3 +282,22 @@ def test_texts_are_not_read_again_for_plain_names(spark):
     plain = asked.where("nid IN ('n1', 'n2', 'n3')")
     plan = contains_join(docs, plain, "tid", "body", "nid", "needle")._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(text" not in plan
+
+
+def test_rules_run_where_their_words_are(spark):
+    """Judged code is what all rules make of it, in any case of letters, and where a rule removes text between words."""
+    texts = [
+        "PROCEDURE p(a IN NUMBER) IS v t.c%Type; BEGIN Select s.NextVal Into x From dual; END;", "", "x", "BEGIN x := :NEW.a || :Old.b; END;",
+        "FUNCTION f(a Out VarChar2) RETURN NUMBER IS cursor c IS SELECT 1 from T; too EXCEPTION; PRAGMA x; BEGIN Raise too; END;",
+        "begin dbms_$x EXCEPTION;lock.sleep(1); execute Immediate q; for r in (select 1 from a Join dual) Loop x; end loop; end;",
+        "begin Begin DBMS_LOB.write(x); end; end;", "begin raise_it(f(1)); end;", "begin Dbms_Output.Put_Line('a' || b); end;", "İf loſ Kelvin from x",
+    ]
+    bodies = spark.createDataFrame([("A", f"n{i}", "PROCEDURE", t) for i, t in enumerate(texts)], "owner string, name string, type string, body string")
+    judged = {r["name"]: r for r in code._ruled(bodies, "app").collect()}
+    plain = code.masked(bodies)
+    for rule in R.general_rules("app"):
+        plain = plain.withColumn("_code", rule(F.col("_code")))
+    assert {n: r["_code"] for n, r in judged.items()} == {r["name"]: r["_code"] for r in plain.collect()}
+    assert [judged[f"n{i}"]["_verdict"] for i in (3, 6, 7, 8)] == [None, "factory", "review", None]
+    # Each rule tells the words that it needs.
+    assert all(words for _, words in R.general_steps("app")) and R.general_steps("public")
