@@ -18,8 +18,11 @@ from portage.session import drop_dir, new_work_dir, stage
 #: Rows of a bucket that one task compares with each other; larger buckets are cut into pieces and every two pieces meet.
 PIECE = 4096
 
-#: For copies by Jaccard similarity: fingerprints of a document, parts of each, and how many of them make a key.
-SEEDS, PARTS, EQUAL_PARTS = 8, 6, 2
+#: For copies by Jaccard similarity: fingerprints of a document, and parts of each, of which every two make a key.
+SEEDS, PARTS = 8, 6
+
+#: Bits of a part at most, of a seed with a part, and of a key: it fits an int.
+PART_BITS, LEAD_BITS, KEY_BITS = 11, 17, 31
 
 #: Fingerprints that meet are near if they and those of the next seed differ in so many of their 128 bits together. Sets of
 #: similarity 0.8 differ in 15 % of the bits (19 % if they are very small), unrelated ones in 50 %.
@@ -298,30 +301,50 @@ class _Joined:
             yield pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], ["a", "b"])
 
 
+def _part(number: int) -> Column:
+    """One of the ``PARTS`` blocks of a fingerprint ``fp``."""
+    lo, hi = (round(i * 64 / PARTS) for i in (number, number + 1))
+    return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int")
+
+
+def _led(prints: DataFrame) -> DataFrame:
+    """Each fingerprint once for every block but the last: ``lead`` names the seed, the block and its bits."""
+    leads = [F.shiftleft(F.col("seed") * PARTS + i, PART_BITS).bitwiseOR(_part(i)) for i in range(PARTS - 1)]
+    return prints.select("node", "fp", "check", F.explode(F.array(*leads)).alias("lead"))
+
+
+def _keyed(led: DataFrame) -> DataFrame:
+    """Each row once for every later block: ``key`` names the lead, the later block and its bits, and nothing is hashed."""
+    block = F.shiftright("lead", PART_BITS) % PARTS
+    keys = [
+        F.when(block < j, F.shiftleft("lead", KEY_BITS - LEAD_BITS).bitwiseOR(F.lit(j << PART_BITS)).bitwiseOR(_part(j))) for j in range(1, PARTS)
+    ]
+    return led.select("node", "fp", "check", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("key"))
+
+
 def _families(nodes: DataFrame) -> DataFrame:
     """Links between nodes of fingerprints that are near by two seeds, met where they agree in blocks of one of them.
 
     A bucket writes a spanning forest, not its pairs. Buckets that a sample shows to be large are cut into pieces.
     """
-    masks = block_masks(PARTS - EQUAL_PARTS, PARTS)
     seeds = F.posexplode(F.transform("fps", lambda fp, i: F.struct(fp.alias("fp"), F.get("fps", (i + 1) % SEEDS).alias("check"))))
     prints = nodes.select("node", seeds.alias("seed", "two")).select("node", "seed", "two.fp", "two.check")
-
-    def keyed(prints: DataFrame) -> DataFrame:
-        return prints.select("node", "fp", "check", F.explode(F.array(*[
-            F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)
-        ])).alias("key"))
-
-    sample = keyed(prints.where(F.pmod("node", F.lit(SAMPLED)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    led = _led(prints)
+    sample = _keyed(_led(prints.where(F.pmod("node", F.lit(SAMPLED)) == 0))).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
     large = staged(
         sample.where(F.col("n") > PIECE).select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "simhash-large"
     )
-    rows, n_large = keyed(prints), large.count()
+    n_large = large.count()
+    few = F.broadcast if n_large <= MOST_BROADCAST else lambda df: df
+    crowded = few(large.select(F.shiftright("key", KEY_BITS - LEAD_BITS).alias("lead")).distinct())
+    alone = led.join(crowded, "lead", "left_anti") if n_large else led
+    # Rows move once for all keys that begin with the same block, and are repeated for each key where they arrive.
+    met = _keyed(alone.repartition("lead")).sortWithinPartitions("key").select(
+        "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "fp", "check"
+    )
     if n_large:
-        rows = rows.join(F.broadcast(large) if n_large <= MOST_BROADCAST else large, "key", "left")
-        met = _split(rows, ["key"], F.coalesce("pieces", F.lit(1))).select("key", "lo", "hi", "node", "fp", "check")
-    else:
-        met = rows.repartition("key").sortWithinPartitions("key").select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "fp", "check")
+        rows = _keyed(led.join(crowded, "lead", "left_semi")).join(few(large), "key", "left")
+        met = met.unionByName(_split(rows, ["key"], F.coalesce("pieces", F.lit(1))).select("key", "lo", "hi", "node", "fp", "check"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, joined = np.empty((6, 0), dtype=np.int64), _Joined()
@@ -348,7 +371,7 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     """One row (``kid``, ``kh``, ``root``) per row of ``docs``; documents linked by copies have the same ``root``.
 
     A link is a pair whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more. Fingerprints that agree
-    in ``EQUAL_PARTS`` of their ``PARTS`` blocks for some seed meet, and those that are near are linked to families; within
+    in two of their ``PARTS`` blocks for some seed meet, and those that are near are linked to families; within
     a family all sets are compared, so a pair is overlooked only if its family is, which at the very threshold has a
     small probability. Families come to their tasks by pieces of ``PIECE_BYTES`` of shingles, every two of which meet, and leave as
     the parts they fall into: no pairs are written. Shingles are compared by 32 bits of their hashes, which takes one in about

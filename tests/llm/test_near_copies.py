@@ -69,3 +69,25 @@ def test_components_hold_pairs_that_no_centre_links(spark, monkeypatch):
 def test_shingles_are_the_distinct_runs_of_words(size):
     text = " ".join(f"w{i % 271}" for i in range(size))
     assert len(simhash.shingles(text.encode(), 5)) == len(plain_shingles(text))
+
+
+def test_rows_move_once_for_all_keys_of_a_block(spark):
+    """Keys are those of every two blocks, and a row is repeated for its keys behind the exchange and not before it."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(30)]
+    edges = [round(i * 64 / simhash.PARTS) for i in range(simhash.PARTS + 1)]
+    rows = [(n, seed, simhash.signed(fp), 0) for n, fp in enumerate(fps) for seed in (0, 7)]
+    led = simhash._led(spark.createDataFrame(rows, "node long, seed int, fp long, check long"))
+    keys = {}
+    for r in simhash._keyed(led).collect():
+        keys.setdefault(r["key"], set()).add((r["node"], r["fp"]))
+    blocks = {
+        (seed, i, j, *(fp >> edges[k] & (1 << (edges[k + 1] - edges[k])) - 1 for k in (i, j)))
+        for _, seed, signed, _ in rows for fp in [signed % (1 << 64)] for i in range(simhash.PARTS) for j in range(i)
+    }
+    assert len(keys) == len(blocks) and min(keys) >= 0
+    assert sum(map(len, keys.values())) == len(rows) * 15
+    nodes = spark.createDataFrame([(n, [simhash.signed(rng.getrandbits(64)) for _ in range(8)]) for n in range(20)], "node long, fps array<long>")
+    plan = simhash._families(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression [lead") < plan.rindex("Generate explode")
