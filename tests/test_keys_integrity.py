@@ -223,3 +223,28 @@ def test_staged_tables_are_zstd(spark, tmp_path):
 
     stage(spark.range(3), str(tmp_path / "t"))
     assert list((tmp_path / "t").glob("*.zstd.parquet"))
+
+
+def test_catalogs_built_of_dealt_lines_are_the_shapes(spark):
+    """Orders and lines that come twice, lines without order, and nulls in every column the shapes read."""
+    from portage.sources import instance_catalog as cat
+
+    make = spark.createDataFrame
+    tables = {
+        "orders": make([(1, 1, "F"), (1, 1, "F"), (1, 2, "O"), (2, None, None), (3, 1, "P"), (None, 1, "F"), (5, 1, "O")], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        "lineitem": make(
+            [(k, p, s, n, f, t) for k in (1, 2, 3, 9, None) for p, s, n, f, t in [
+                (1, 1, 1, "A", "F"), (1, 1, 1, "A", "F"), (1, 2, 2, "N", "O"), (None, 1, 3, "R", "O"), (2, None, None, None, None), (2, 2, 4, "A", "O")]],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string",
+        ),
+        "part": make([(1, "Brand#1"), (2, "Brand#2")], "p_partkey long, p_brand string"),
+        "customer": make([(1, "BUILDING", 1)], "c_custkey long, c_mktsegment string, c_nationkey long"),
+        "supplier": make([(1, 1)], "s_suppkey long, s_nationkey long"), "nation": make([(1, 1)], "n_nationkey long, n_regionkey long"),
+        "region": make([(1,)], "r_regionkey long"), "conversations": make([(1, 1, "user"), (1, 0, "user")], "conv_id long, turn long, role string"),
+    }
+    for name, text in cat.PLANS.items():
+        inputs = {t: df for t, df in tables.items() if "{" + t + "}" in text}
+        built = spark.sql(text.replace("{parts}", "3"), **inputs)
+        shape = spark.sql(cat.SHAPES[name], **{t: df for t, df in tables.items() if "{" + t + "}" in cat.SHAPES[name]})
+        assert built.dtypes == shape.dtypes
+        assert sorted(map(repr, built.collect())) == sorted(map(repr, shape.collect())), name
