@@ -98,4 +98,10 @@ def dependency_rows(dependencies: DataFrame, selected: DataFrame, types: Iterabl
 
 
 def distinct_references(dependencies: DataFrame) -> DataFrame:
-    return dependencies.select("referenced_owner", "referenced_name", "referenced_type").distinct()
+    """The objects that any other refers to.
+
+    Rows are dealt by object before they are made distinct: a task then holds its share of the objects. Where they are read it
+    would hold nearly all objects of its split, of which a stored catalog has few and long ones.
+    """
+    names = ["referenced_owner", "referenced_name", "referenced_type"]
+    return dependencies.select(*names).repartition(*names).distinct()

@@ -248,3 +248,12 @@ def test_catalogs_built_of_dealt_lines_are_the_shapes(spark):
         shape = spark.sql(cat.SHAPES[name], **{t: df for t, df in tables.items() if "{" + t + "}" in cat.SHAPES[name]})
         assert built.dtypes == shape.dtypes
         assert sorted(map(repr, built.collect())) == sorted(map(repr, shape.collect())), name
+
+
+def test_references_are_dealt_before_they_are_made_distinct(spark):
+    from portage.operators.inventory import distinct_references
+
+    found = distinct_references(spark.createDataFrame([("A", "b", "TABLE"), ("A", "b", "TABLE"), (None, "b", None)], "referenced_owner string, referenced_name string, referenced_type string"))
+    assert {tuple(r) for r in found.collect()} == {("A", "b", "TABLE"), (None, "b", None)} and found.count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression")
