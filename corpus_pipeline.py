@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portage.llm.bpe import tokenized, vocabulary
-from portage.llm.common import staged, table
+from portage.llm.common import staged, table, told_apart, without
 from portage.llm.decontaminate import contamination
 from portage.llm.langid import UNKNOWN, identify, train
 from portage.llm.simhash import near_copies
@@ -41,18 +41,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = found.groupBy("root").agg(F.min(F.struct("kid", "kh")).alias("chosen"))
     judged = found.join(chosen, "root").select("kid", "kh", (F.struct("kid", "kh") == F.col("chosen")).alias("stays"))
     lost = staged(judged.where("not stays").select("kid", "kh").distinct(), "lost")
-    kept = _keyed(docs).join(lost, ["kid", "kh"], "left_anti")
+    kept = without(_keyed(docs), lost)
     repeated = staged(judged.where("stays").groupBy("kid", "kh").count().where("count > 1").select("kid", "kh"), "repeated")
     if repeated.isEmpty():
         return kept.select("row.*")
-    once = kept.join(repeated, ["kid", "kh"], "left_semi").groupBy("kid", "kh").agg(F.min("row").alias("row"))
-    return kept.join(repeated, ["kid", "kh"], "left_anti").select("row").unionByName(once.select("row")).select("row.*")
+    asked = told_apart(kept, repeated)[0]
+    once = asked.join(repeated, ["kid", "kh"], "left_semi").groupBy("kid", "kh").agg(F.min("row").alias("row"))
+    return without(kept, repeated).select("row").unionByName(once.select("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; a document of which nothing is left goes."""
     left = repeated_text(docs)[1]
-    rows = _keyed(docs).join(left, ["kid", "kh"], "left").where("kept is null or kept <> ''")
+    asked, others = told_apart(_keyed(docs), left)
+    rows = others.withColumn("kept", F.lit(None).cast("string")).unionByName(asked.join(left, ["kid", "kh"], "left"))
+    rows = rows.where("kept is null or kept <> ''")
     cut = F.col("kept").isNotNull()
     columns = [
         F.when(cut, F.col("kept")).otherwise(F.col("row.text")).alias("text") if c == "text"
@@ -67,7 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no passage of a benchmark item."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     leaked = staged(found.where("contaminated").select("kid", "kh").distinct(), "leaked")
-    return _keyed(docs).join(leaked, ["kid", "kh"], "left_anti").select("row.*")
+    return without(_keyed(docs), leaked).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -434,3 +434,28 @@ def test_long_runs_of_one_word_cost_a_few_encodings():
     coder.ids = lambda text: read.append(len(text)) or plain(text)
     assert [i for ids in coder.repaired(bpe.cut_run(run, coder.special)) for i in ids] == plain(run)
     assert sum(read) < 8 * len(run)
+
+
+def test_only_rows_that_may_be_named_go_through_the_join(spark):
+    """Pipeline, disk: texts move only where a key may be among those that are taken out."""
+    from portage.llm import common
+
+    rows = spark.range(2000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "IF(id % 9 = 0, NULL, CONCAT('t', id)) AS text", "id")
+    keyed = common.texts(rows).select("doc_id", "text", "kid", "kh")
+    keys = keyed.where("doc_id is null or doc_id % 100 = 0").select("kid", "kh").distinct()
+    asked, others = common.told_apart(keyed, keys)
+    assert 21 <= asked.count() <= 25
+    assert asked.count() + others.count() == 2000
+    left = sorted(common.without(keyed, keys).collect())
+    assert left == sorted(keyed.join(keys, ["kid", "kh"], "left_anti").select(*common.without(keyed, keys).columns).collect())
+    assert len(left) == 1979
+
+
+def test_stages_that_take_documents_out_leave_the_others_where_they_are(spark):
+    import corpus_pipeline
+    from conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.decontamination):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("held(xxhash64(") >= 2, stage.__name__
