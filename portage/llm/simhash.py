@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from portage.llm.common import (
     as_bytes, bitmap, components, gram_hashes, in_tasks, marked, signed, staged, table, texts, word_hashes,
 )
-from portage.session import drop_dir, new_work_dir, stage
+from portage.session import drop_dir, new_work_dir, stage, unbroadcast
 
 #: Rows of a bucket that one task compares with each other; larger buckets are cut into pieces and every two pieces meet.
 PIECE = 4096
@@ -116,7 +116,8 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 7) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     met = (
-        keys.join(shared, "key")
+        # Spark takes the exploded keys for a few times smaller than they are, and would broadcast them.
+        unbroadcast(keys).join(shared, "key")
         .select("key", "fp", pieces.alias("pieces"), F.pmod(F.xxhash64(F.lit("piece"), "fp"), pieces).cast("int").alias("own"))
         .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
